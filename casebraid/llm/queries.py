@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 
@@ -20,10 +21,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op6_packing": op6_packing,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
 #: Only operators that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": """
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM n""",
+}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, language
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -21,6 +23,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    apart = language.held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(documents, ~apart)
+    return language.predict(documents, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_conversations(said))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
@@ -28,11 +43,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op6_packing": op6_packing,
+    "op7_language": op7_language,
+    "op8_chat": op8_chat,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 #: Only operators that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op7_language": op7_language,
+    "op8_chat": op8_chat,
     "op9_exact_dedup": """
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language
+from . import chat, language, toxicity
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -19,6 +19,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    apart = language.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels"), ~apart)
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_language": op7_language,
     "op8_chat": op8_chat,

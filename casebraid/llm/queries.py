@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, language, toxicity
+from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -19,6 +20,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     apart = language.held_out(F.col("doc_id"), 3, 1)
@@ -50,6 +55,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op3_decontamination": op3_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_language": op7_language,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat, language, toxicity
 from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
+from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 
@@ -53,6 +54,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op3_decontamination": op3_decontamination,
@@ -61,6 +66,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_chat": op8_chat,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: Only operators that SQL can express; the others are tested against brute force in tests/llm.

@@ -42,13 +42,14 @@ def _settings(spark: SparkSession, wanted: dict[str, str]):
 
 
 def normalised(text: Column) -> Column:
-    """Each run of white space as one space; null as empty. A text without such a run is left alone, which is cheap to see."""
+    """Each run of white space as one space; null as empty. The pattern leaves out runs that are one space already."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " ")
+    return F.regexp_replace(text, "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+", " ")
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
+    """Of a normalised text."""
+    return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
 def _stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int) -> DataFrame:
@@ -59,7 +60,7 @@ def _stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batc
 
 def seen_digests(spark: SparkSession, path: str, schema: T.StructType, scratch: Scratch, checkpoint: str | None = None, files_per_batch: int = 100_000, hashed=digest) -> DataFrame:
     """digest, keep_id, group_size of all documents under path, as the stream's state has them after what is there now."""
-    counted = _stream(spark, path, schema, files_per_batch).select(F.col("doc_id").cast("long").alias("doc_id"), hashed(F.col("text")).alias("digest"))
+    counted = _stream(spark, path, schema, files_per_batch).select(F.col("doc_id").cast("long").alias("doc_id"), hashed(normalised(F.col("text"))).alias("digest"))
     state = counted.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     out = f"{scratch.path}/seen"
 
@@ -87,14 +88,16 @@ def exact_duplicates(spark: SparkSession, path: str, checkpoint: str | None = No
     documents = spark.read.parquet(path)
     scratch = Scratch(spark, "exact")
     seen = scratch.save(seen_digests(spark, path, documents.schema, scratch, checkpoint, files_per_batch, hashed), "state")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
-    named = scratch.save(rows.select("doc_id", hashed(F.col("text")).alias("digest"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")).join(seen, "digest"), "rows")
-    hits = named.where("group_size > 1 and doc_id is not null").select("doc_id", "digest", "keep_id").distinct()
-    # the texts of all rows that share a digest, and each compared with the kept one
-    texts = scratch.save(rows.join(hits.select("doc_id", "keep_id", F.col("digest").alias("__digest")), "doc_id").where(hashed(F.col("text")) == F.col("__digest")), "texts")
-    keepers = texts.where("doc_id = keep_id").groupBy("keep_id", "__digest").agg(F.min("text").alias("kept_text"))
-    others = texts.join(keepers, ["keep_id", "__digest"]).where("text <> kept_text").select("doc_id", "text", F.col("__digest").alias("digest"))
-    others = scratch.save(others, "collisions")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text = normalised(F.col("text"))
+    named = rows.select("doc_id", hashed(text).alias("digest"), digest(text).alias("text_sha256"))
+    named = scratch.save(named.join(seen, "digest"), "rows")
+    hits = named.where("group_size > 1 and doc_id is not null").select("doc_id", F.col("digest").alias("__digest"), "keep_id").distinct()
+    # the texts of all rows that share a digest, each compared with the kept one in full
+    texts = rows.join(hits, "doc_id").select("doc_id", "keep_id", "__digest", text.alias("text"))
+    texts = scratch.save(texts.where(hashed(F.col("text")) == F.col("__digest")), "texts")
+    keepers = texts.where("doc_id = keep_id").select("keep_id", "__digest", "text")
+    others = scratch.save(texts.join(keepers, ["keep_id", "__digest", "text"], "left_anti").select("doc_id", "text", F.col("__digest").alias("digest")), "collisions")
     scratch.drop("texts")
     out = named
     if not others.isEmpty():  # one digest, other bytes: the text itself is the key

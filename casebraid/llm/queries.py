@@ -11,6 +11,7 @@ from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .repeats import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     apart = language.held_out(F.col("doc_id"), 3, 1)
@@ -61,6 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op3_decontamination": op3_decontamination,
+    "op4_repeats": op4_repeats,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_language": op7_language,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, toxicity
+from . import chat, language, toxicity, warc
+from .common import Scratch
 from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
@@ -22,6 +23,15 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    root = f"{scratch.path}/archive"
+    captures = scratch.save(warc.write_archives(_table(spark, sf_dir, "pages"), root), "captures")
+    directory = scratch.save(warc.build_index(captures, root), "directory")
+    records = warc.read_records(warc.all_captures(directory, root), root)
+    return warc.summary(scratch.save(records.select("page_id", "payload_digest", "record_type", "refers_to", "payload"), "records"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
     "op4_repeats": op4_repeats,
     "op5_toxicity": op5_toxicity,

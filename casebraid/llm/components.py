@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch
 
@@ -11,22 +12,22 @@ from .common import Scratch
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of u to the smallest of u and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
+    return both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links u and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    down = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    # the row of the smallest neighbour gives u's own link, the others give theirs
+    return down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds: int = 60) -> DataFrame:
     """edges (u, v: long) to node, root: the smallest node of its component. Roots themselves have no row.
 
-    Neighbours are never gathered: both steps are a minimum by key, combined before the shuffle, and a join back.
+    Both steps are one minimum over the links of a node. These are rows of two numbers in a sorted stream that spills:
+    they are never gathered in memory, and each step is one shuffle. The links of a round are at most as many as before.
     Self-links, repeated links and links with a null end are ignored.
     """
     now = scratch.save(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}0")
@@ -34,15 +35,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds
     if mark[0] == 0:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for k in range(1, most_rounds):
-        after = scratch.save(_small_star(_large_star(now)).distinct(), f"{name}{k}")
+        after = scratch.save(_small_star(_large_star(now)), f"{name}{k}")
         seen, mark = mark, _mark(after)
         scratch.drop(f"{name}{k - 1}")
         now = after
         if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return scratch.save(now.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct(), f"{name}roots")
     raise RuntimeError("components: the stars did not settle")
 
 
 def _mark(edges: DataFrame) -> tuple:
-    """What tells two sets of edges apart: their number and an order-free sum of their hashes."""
+    """What tells two rounds' links apart: their number and an order-free sum of their hashes."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

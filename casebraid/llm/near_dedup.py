@@ -5,14 +5,14 @@ on. Universal hash minima are cut into bands; representatives that share a band
 their signatures first and then on their full shingle sets. Components of the confirmed links come
 from alternating large-star and small-star.
 
-A band's bucket can hold a third of a corpus, so its pairs are never listed. Each bucket links its
-members to one of them (the hub), which makes as many candidates as members. Where members of a
-bucket still lie in different components, other hubs follow for a few rounds; what is then still
-apart is re-dealt by pairs of bands, and only buckets of a bounded size list their pairs, of
-different components alone. A bucket that stays larger is cut into blocks, so every pair in it is
-still looked at, over many tasks.
-
-A pair of similarity 0.75 shares none of 40 bands of 4 minima with probability 3e-7.
+A band's bucket can hold a third of a corpus, so its pairs are never emitted. Each bucket links its
+members to one of them (the hub), which makes as many candidates as members. Where several components
+are left in a bucket, its members are compared by their signatures inside tiles of bounded size; those
+with a likely partner in another component then meet with their full sets, again in tiles, and each tile
+only tells the links that join components: no more than it has members. A bucket too large for few tiles
+is re-dealt by pairs of bands before, so the work stays far from quadratic while no candidate is given up.
+
+A pair of similarity 0.75 shares none of 45 bands of 5 minima with probability 5e-6.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ from .common import Scratch, chunks, column
 from .components import components
 from .shingles import mix, shingle_sets
 
-BANDS, ROWS = 40, 4
+BANDS, ROWS = 45, 5
 _RNG = np.random.default_rng(1_000_003)
 _A = _RNG.integers(1 << 16, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-#: A signature may fall short of the threshold by so much: over five standard deviations of 160 minima at 0.75.
-SLACK = 0.18
-#: The most members of a bucket whose pairs are listed, and how often a bucket gets another hub before.
-SMALL_BUCKET, HUB_ROUNDS = 24, 3
+#: A signature may fall short of the threshold by so much: over five standard deviations of 225 minima at 0.75.
+SLACK = 0.15
+#: Members of a block of a signature tile, shingles of a block of a set tile, most members of a bucket that is tiled at once.
+BLOCK, BLOCK_SHINGLES, MOST_TILED = 4096, 400_000, 16_384
 _FEATURES = "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>"
 
 
@@ -59,8 +59,8 @@ def _features(documents: DataFrame, size: int) -> DataFrame:
                     rows.append((0, None, None, None))
                     continue
                 least = minima(own)
-                banded = mix((least.astype(np.uint64).reshape(BANDS, ROWS) * np.array([3, 5, 9, 17], np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                rows.append((len(own), xxhash.xxh3_128_digest(own.tobytes()), (least >> np.uint32(16)).astype("<u2").tobytes(), banded.view(np.int64)))
+                banded = mix((least.astype(np.uint64).reshape(BANDS, ROWS) * np.array([3, 5, 9, 17, 33], np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+                rows.append((len(own), xxhash.xxh3_128_digest(own.tobytes()), (least >> np.uint32(24)).astype(np.uint8).tobytes(), banded.view(np.int64)))
             n, digest, signature, bands = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([column(table, "doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "signature", "bands"])
 
@@ -85,7 +85,7 @@ def _alike(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("s_u", "s_v"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("s_u", "s_v"))
             good = (a == b).mean(axis=1) >= threshold - SLACK
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good))
 
@@ -93,20 +93,24 @@ def _alike(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFra
     return pairs.join(left, "u").join(right, "v").where(near).select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
 
 
+def _enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * size of the intersection >= percent * size of the union, for sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * size of the intersection >= percent * size of the union."""
+    """The pairs whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s_u"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("s_v"))
 
     def run(batches):
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("s_u").to_pylist(), batch.column("s_v").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [_enough(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(batch.column("s_u").to_pylist(), batch.column("s_v").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.join(left, "u").join(right, "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
@@ -126,52 +130,43 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
     classes = scratch.save(named.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     ids = classes.select("id").distinct()
     signatures = scratch.save(named.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature", "bands").dropDuplicates(["id", "signature"]), "signatures")
+    told = scratch.save(features.select("doc_id", "n_shingles", "digest"), "told")
+    scratch.drop("features")
     members = signatures.select("id", F.explode("bands").alias("key"))
     hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
     buckets = scratch.save(members.join(hubs, "key"), "buckets")  # only members that share a band
     threshold = percent / 100
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        return _sets(documents.join(wanted, "doc_id", "left_semi"), size)
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        return scratch.save(_sets(documents.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), name)
 
-    def confirm(candidates: DataFrame, name: str) -> DataFrame:
-        alike = scratch.save(_alike(candidates.distinct(), signatures, threshold), f"alike{name}")
-        sets = scratch.save(texts_of(alike), f"sets{name}")
-        found = scratch.save(_confirmed(alike, sets, percent), f"links{name}")
-        scratch.drop(f"sets{name}")
-        return found
-
-    links = confirm(buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")), "0")
+    candidates = buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
+    alike = scratch.save(_alike(candidates, signatures, threshold), "alike")
+    sets = sets_of(alike.select(F.col("u").alias("id")).unionByName(alike.select(F.col("v").alias("id"))), "sets")
+    links = scratch.save(_confirmed(alike, sets, percent), "links")
+    scratch.drop("sets", "alike")
     roots = components(links, scratch, "cc0_")
-    tried = links
-    for k in range(1, HUB_ROUNDS + 1):
-        apart = _apart(buckets.select("key", "id"), roots, scratch, f"apart{k}")
-        if apart is None:
-            break
-        # another hub in each bucket that is not yet one component: a different one each round
-        order = F.xxhash64(F.col("root"), F.col("key"), F.lit(k))
-        hub = apart.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("root").alias("hub_root")), F.struct(order, F.col("id"))).alias("h")).select("key", "h.*")
-        todo = apart.join(hub, "key").where("root <> hub_root").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
-        found = confirm(todo, str(k))
-        if found.isEmpty():
-            break
-        tried = tried.unionByName(found)
-        roots = components(tried, scratch, f"cc{k}_")
-    apart = _apart(buckets.select("key", "id"), roots, scratch, "apart_last")
+    apart = _apart(buckets.select("key", "id"), roots, scratch, "apart")
     if apart is not None:
-        rest = _pairs_apart(apart, signatures, scratch)
-        found = confirm(rest, "_last")
-        if not found.isEmpty():
-            tried = tried.unionByName(found)
-            roots = components(tried, scratch, "cc_last_")
+        likely = _likely(apart, signatures, threshold, scratch)
+        if likely is not None:
+            sets = sets_of(likely.select("id"), "sets_apart").dropDuplicates(["id"])
+            found = scratch.save(_joining(likely, sets, percent), "links_apart")
+            if not found.isEmpty():
+                roots = components(links.unionByName(found), scratch, "cc1_")
     whole = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("class_root"))
-    out = features.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left")
+    out = told.join(whole, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class_root")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(documents: DataFrame, percent: int = 75) -> DataFrame:
+    """The documents, with all their columns, without those that near-duplicate one that stays."""
+    gone = near_duplicates(documents, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return documents.join(gone, documents["doc_id"].cast("long") == gone["__gone"], "left_anti")
+
+
 def _apart(buckets: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
     """Members (key, id, root) of the buckets that hold more than one component."""
     rooted = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
@@ -180,33 +175,71 @@ def _apart(buckets: DataFrame, roots: DataFrame, scratch: Scratch, name: str) ->
     return None if found.isEmpty() else found
 
 
-def _pairs_apart(apart: DataFrame, signatures: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of different components within buckets: of small ones all, of larger ones after they are dealt by other bands."""
-    pairs, now = [], apart
-    for depth in range(3):
-        sizes = now.groupBy("key").agg(F.count("*").alias("n"))
-        small = now.join(sizes.where(F.col("n") <= SMALL_BUCKET), "key")
-        pairs.append(_listed(small, []))
-        large = now.join(sizes.where(F.col("n") > SMALL_BUCKET), "key").select("key", "id", "root")
-        large = scratch.save(large, f"large{depth}")
-        if large.isEmpty():
-            return _union(pairs)
+def _likely(apart: DataFrame, signatures: DataFrame, threshold: float, scratch: Scratch) -> DataFrame | None:
+    """key, id, root: the members of buckets with a partner of another component that is alike by signature."""
+    found, now = [], apart
+    for depth in range(4):
+        sizes = now.groupBy("key").agg(F.count("*").alias("n_bucket"))
+        sized = now.join(sizes, "key")
+        last = depth == 3
+        found.append(scratch.save(_tiled(sized if last else sized.where(F.col("n_bucket") <= MOST_TILED), signatures, threshold), f"likely{depth}"))
+        large = None if last else scratch.save(sized.where(F.col("n_bucket") > MOST_TILED).select("key", "id", "root"), f"large{depth}")
+        if large is None or large.isEmpty():
+            break
         dealt = large.join(signatures.select("id", F.explode("bands").alias("band")), "id").where("band <> key").select(F.xxhash64("key", "band").alias("key"), "id", "root")
         mixed = dealt.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
         now = scratch.save(dealt.join(mixed, "key"), f"dealt{depth}")
-    # still large: all pairs, in blocks of ids dealt by both blocks of a pair
-    blocks = now.groupBy("key").agg((F.count("*") / F.lit(SMALL_BUCKET)).cast("long").alias("blocks"))
-    cut = now.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks") + 1))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks")))
-    tiles = cut.select("*", other.alias("other")).select("key", "id", "root", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"))
-    pairs.append(_listed(tiles, ["b0", "b1"]))
-    return _union(pairs)
-
-
-def _listed(members: DataFrame, tile: list[str]) -> DataFrame:
-    a = members.select("key", *tile, F.col("id").alias("u"), F.col("root").alias("ru"))
-    b = members.select("key", *tile, F.col("id").alias("v"), F.col("root").alias("rv"))
-    return a.join(b, ["key", *tile]).where("u < v and ru <> rv").select("u", "v").distinct()
+    every = _union(found)
+    return None if every.isEmpty() else scratch.save(every.distinct(), "likely")
+
+
+def _tiles(members: DataFrame, blocks) -> DataFrame:
+    """Members once for each pair of blocks of their bucket that theirs is in: key, b0, b1 name the tile."""
+    cut = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return cut.withColumns({"b0": F.least("block", "other"), "b1": F.greatest("block", "other")})
+
+
+def _tiled(members: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+    tiles = _tiles(members, F.ceil(F.col("n_bucket") / BLOCK).cast("long")).select("key", "id", "root", "b0", "b1")
+    rows = tiles.join(signatures.select("id", "n", "signature").dropDuplicates(["id"]), "id")
+
+    def compare(key, table):
+        ids, roots, n = (table.column(c).to_numpy() for c in ("id", "root", "n"))
+        codes = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        good = np.zeros(len(ids), bool)
+        for i in range(len(ids) - 1):
+            j = np.flatnonzero((roots[i + 1 :] != roots[i]) & (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]) - 1e-9)) + i + 1
+            if len(j):
+                j = j[(codes[j] == codes[i]).mean(axis=1) >= threshold - SLACK]
+                good[j] = True
+                good[i] |= bool(len(j))
+        return pa.table({"key": table.column("key"), "id": table.column("id"), "root": table.column("root")}).filter(pa.array(good))
+
+    return rows.groupBy("key", "b0", "b1").applyInArrow(compare, "key long, id long, root long")
+
+
+def _joining(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between components of a bucket: of each tile those of a spanning forest."""
+    rows = members.join(sets.withColumn("n", F.octet_length("shingles") / 8), "id")
+    weights = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks"))
+    tiles = _tiles(rows.join(weights, "key"), F.greatest(F.col("blocks"), F.lit(1).cast("long"))).select("key", "id", "root", "b0", "b1", "shingles")
+
+    def compare(key, table):
+        ids, start = table.column("id").to_numpy(), table.column("root").to_numpy()
+        own = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        n = np.array([len(s) for s in own])
+        parts = np.unique(start, return_inverse=True)[1]  # each member's component, kept up to date
+        us, vs = [], []
+        for i in range(len(ids) - 1):
+            j = np.flatnonzero((parts[i + 1 :] != parts[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
+            for k in j.tolist():
+                if parts[k] != parts[i] and _enough(own[i], own[k], percent):
+                    us.append(ids[i])
+                    vs.append(ids[k])
+                    parts[parts == parts[k]] = parts[i]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return tiles.groupBy("key", "b0", "b1").applyInArrow(compare, "u long, v long").distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -52,10 +52,11 @@ def test_whole_table_equals_brute_force(spark):
     assert result(frame) == brute_force([(r.doc_id, r.text) for r in frame.collect()])
 
 
-@pytest.mark.parametrize("small, hubs", [(24, 3), (3, 0)])
-def test_chains_copies_and_crowded_buckets(spark, monkeypatch, small, hubs):
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", small)
-    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", hubs)
+@pytest.mark.parametrize("most, block, weight", [(16_384, 4096, 400_000), (8, 3, 500)])
+def test_chains_copies_and_crowded_buckets(spark, monkeypatch, most, block, weight):
+    monkeypatch.setattr(near_dedup, "MOST_TILED", most)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", weight)
     rng = random.Random(5)
     rows, base = [], [f"w{rng.randrange(500)}" for _ in range(120)]
     for k in range(40):  # a large group, some of it only linked through others

@@ -249,3 +249,18 @@ def score(documents: DataFrame, model: ToxicWords) -> DataFrame:
             )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
+
+
+def keep_clean(documents: DataFrame, model: ToxicWords, most: float = 0.7) -> DataFrame:
+    """The documents, with all their columns, that score below most."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        known = held.value
+        for table in chunks(batches):
+            features, _ = known.features(column(table, "text"))
+            good = pa.array(known.scores(features) < most)
+            for batch in table.filter(good).to_batches():
+                yield batch
+
+    return documents.mapInArrow(run, documents.schema)

@@ -88,8 +88,6 @@ QUERIES = {
 
 #: Only operators that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
-    "op7_language": op7_language,
-    "op8_chat": op8_chat,
     "op9_exact_dedup": """
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

@@ -13,13 +13,17 @@ stream over the text: a position's match is that of the last sample at or before
 Starts with a match of LENGTH bytes or more are repeats.
 
 An anchor hash may have any number of distinct snippets (a passage that a third of all documents cite
-has its borders in each of them). Beyond GROUP snippets the windows themselves are counted by 128-bit
-hashes, combined before the shuffle, so no task ever holds an unbounded group.
+has its borders in each of them). Up to GROUP snippets go into one index, less those that share too few
+bytes with any other. Beyond, the starts of a snippet are dealt in ranges, by 128-bit hashes of the bytes
+that all strings of a range have in common: a range whose snippets agree on all its bytes is marked whole,
+one that stands alone holds no repeat, and the rest is cut into finer ranges, down to single starts. That
+counts by key, combined before the shuffle, so no task ever holds an unbounded group.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ from .shingles import mix
 LENGTH, K = 400, 32
 #: The most distinct snippets of an anchor hash that one index takes, and about how many bytes an index holds.
 GROUP, INDEX_BYTES = 512, 1 << 20
+#: The widths of ranges of starts, from coarse to single ones; and of those by which an index passes over snippets.
+WIDTHS, INDEX_WIDTH = (64, 8, 1), 32
 _PIECE, _PLACE_BITS = 8 << 20, 24
 _RNG = np.random.default_rng(40_961)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,10 +234,28 @@ def _spans(starts: np.ndarray) -> list[dict]:
 MARKS = "c1 long, c2 long, spans array<struct<a:int,b:int>>"
 
 
+def ranges(least: int, most: int, width: int) -> list[tuple[int, int, int]]:
+    """Number, first and last of the ranges of a width that least to most lies in."""
+    return [(k, max(least, k * width), min(most, (k + 1) * width - 1)) for k in range(least // width, most // width + 1)]
+
+
+def shared_bytes(snippet: bytes, place: int, k: int, width: int) -> bytes:
+    """What all strings have in common that begin from k width to (k + 1) width - 1 bytes before the anchor."""
+    return snippet[place - k * width : max(0, place + LENGTH - (k + 1) * width + 1)]
+
+
+def _with_partners(rows: list[tuple]) -> list[tuple]:
+    """The rows (h, c1, c2, snippet, place) that can share a string with another: exact, as equal strings share these bytes."""
+    keys = [[xxhash.xxh3_64_intdigest(shared_bytes(s, p, k, INDEX_WIDTH), k) for k, _, _ in ranges(p - len(s) + LENGTH, p, INDEX_WIDTH)] for _, _, _, s, p in rows]
+    n = Counter(x for own in keys for x in own)
+    return [row for row, own in zip(rows, keys, strict=True) if any(n[x] > 1 for x in own)]
+
+
 def _index_rows(batches):
     """Sorted by h: the groups of whole hashes, packed to about INDEX_BYTES."""
     def done(rows):
-        found = repeated_starts([r[3] for r in rows])
+        rows = _with_partners(rows)
+        found = repeated_starts([r[3] for r in rows]) if rows else []
         keep = [(r[1], r[2], _spans(s)) for r, s in zip(rows, found, strict=True) if len(s)]
         c1, c2, spans = zip(*keep, strict=True) if keep else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["c1", "c2", "spans"])
@@ -239,7 +263,7 @@ def _index_rows(batches):
     rows: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "c1", "c2", "snippet")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "c1", "c2", "snippet", "place")), strict=True):
             if size >= INDEX_BYTES and row[0] != rows[-1][0]:
                 yield done(rows)
                 rows, size = [], 0
@@ -249,21 +273,52 @@ def _index_rows(batches):
         yield done(rows)
 
 
-def _window_rows(batches):
-    """A row for each window of a snippet: its hash, and where it starts."""
-    for batch in batches:
-        for c1, c2, snippet in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "snippet")), strict=True):
-            n = len(snippet) - LENGTH + 1
-            codes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(snippet[k : k + LENGTH]) for k in range(n)), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c1)), pa.array(np.full(n, c2)), pa.array(codes[:, 0]), pa.array(codes[:, 1]), pa.array(np.arange(n, dtype=np.int32))], names=["c1", "c2", "w1", "w2", "k"])
+PARTS = "c1 long, c2 long, w1 long, w2 long, whole long, least int, most int"
+
+
+def _part_rows(width: int):
+    """Of each row its ranges of a width: hashes of what their strings share (w1, w2), and of all their bytes (whole)."""
+    types = [pa.int64()] * 5 + [pa.int32()] * 2
+    names = ["c1", "c2", "w1", "w2", "whole", "least", "most"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for c1, c2, place, least, most, snippet in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "place", "least", "most", "snippet")), strict=True):
+                for k, a, b in ranges(least, most, width):
+                    w1, w2 = np.frombuffer(xxhash.xxh3_128_digest(shared_bytes(snippet, place, k, width), k), "<i8").tolist()
+                    whole = xxhash.xxh3_64_intdigest(snippet[place - b : place + LENGTH - a], a * LENGTH + b) - (1 << 63)
+                    rows.append((c1, c2, w1, w2, whole, a, b))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return run
+
+
+def _by_ranges(snippets: DataFrame, scratch: Scratch) -> DataFrame:
+    """c1, c2, spans of the repeated starts among snippets (c1, c2, place, snippet), whatever the size of a group."""
+    now = snippets.withColumns({"least": F.col("place") - F.octet_length("snippet") + LENGTH, "most": F.col("place")})
+    marked = []
+    for width in WIDTHS:
+        parts = scratch.save(now.select("c1", "c2", "place", "least", "most", "snippet").mapInArrow(_part_rows(width), PARTS), f"parts{width}")
+        met = parts.groupBy("w1", "w2").agg(F.count("*").alias("n_w"), F.min("whole").alias("w_a"), F.max("whole").alias("w_b")).where("n_w > 1")
+        both = scratch.save(parts.join(met, ["w1", "w2"]).select("c1", "c2", "least", "most", (F.col("w_a") == F.col("w_b")).alias("agree")), f"met{width}")
+        marked.append(both.where("agree").select("c1", "c2", "least", "most"))
+        now = snippets.join(both.where("not agree").select("c1", "c2", "least", "most"), ["c1", "c2"])
+    found = marked[0]
+    for more in marked[1:]:
+        found = found.unionByName(more)
+    placed = found.join(snippets.select("c1", "c2", "place"), ["c1", "c2"])
+    span = F.struct((F.col("place") - F.col("most")).alias("a"), (F.col("place") - F.col("least")).alias("b"))
+    return placed.groupBy("c1", "c2").agg(F.collect_list(span).alias("spans"))
 
 
 def _snippet_rows(batches):
     for table in chunks(batches):
         for text, cuts in zip(column(table, "text").cast(pa.large_binary()).to_pylist(), column(table, "cuts").to_pylist(), strict=True):
-            cols = [(c["h"], c["c1"], c["c2"], text[c["lo"] : c["hi"] + LENGTH]) for c in cuts]
-            h, c1, c2, snippet = zip(*cols, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(snippet, pa.binary())], names=["h", "c1", "c2", "snippet"])
+            cols = [(c["h"], c["c1"], c["c2"], c["place"], text[c["lo"] : c["hi"] + LENGTH]) for c in cuts]
+            h, c1, c2, place, snippet = zip(*cols, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(place, pa.int32()), pa.array(snippet, pa.binary())], names=["h", "c1", "c2", "place", "snippet"])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -305,18 +360,15 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     twice = every.groupBy("h").agg(F.count("*").alias("n_h")).where("n_h > 1").select("h")
     some = scratch.save(every.join(twice, "h", "left_semi"), "repeated")
     scratch.drop("anchors")
-    kinds = scratch.save(some.groupBy("c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("h", "rid", "lo", "hi"))), "kinds")
+    kinds = scratch.save(some.groupBy("c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("h", "rid", "lo", "hi", "place"))), "kinds")
     sizes = kinds.groupBy("h").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1")
-    wanted = kinds.join(sizes, "h").select("rid", "h", "c1", "c2", "lo", "hi", "n_kinds")
-    cuts = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "c1", "c2", "lo", "hi")).alias("cuts"))
+    wanted = kinds.join(sizes, "h").select("rid", "h", "c1", "c2", "lo", "hi", "place")
+    cuts = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "c1", "c2", "lo", "hi", "place")).alias("cuts"))
     once = texts.join(cuts, "rid").select("text", "cuts")
-    snippets = scratch.save(once.mapInArrow(_snippet_rows, "h long, c1 long, c2 long, snippet binary").dropDuplicates(["c1", "c2"]), "snippets")
+    snippets = scratch.save(once.mapInArrow(_snippet_rows, "h long, c1 long, c2 long, place int, snippet binary").dropDuplicates(["c1", "c2"]), "snippets")
     sized = snippets.join(sizes, "h")
-    indexed = sized.where(F.col("n_kinds") <= GROUP).select("h", "c1", "c2", "snippet").repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(_index_rows, MARKS)
-    windows = sized.where(F.col("n_kinds") > GROUP).select("c1", "c2", "snippet").mapInArrow(_window_rows, "c1 long, c2 long, w1 long, w2 long, k int")
-    windows = scratch.save(windows, "windows")
-    common = windows.groupBy("w1", "w2").agg(F.count("*").alias("n_w")).where("n_w > 1").select("w1", "w2")
-    counted = windows.join(common, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.collect_list(F.struct(F.col("k").alias("a"), F.col("k").alias("b"))).alias("spans"))
+    indexed = sized.where(F.col("n_kinds") <= GROUP).select("h", "c1", "c2", "snippet", "place").repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(_index_rows, MARKS)
+    counted = _by_ranges(sized.where(F.col("n_kinds") > GROUP).select("c1", "c2", "place", "snippet"), scratch)
     marks = scratch.save(indexed.unionByName(counted), "marks")
     # where each snippet stands: all its starts if it comes several times, else those that are marked
     often = some.join(kinds.where("n > 1").select("c1", "c2"), ["c1", "c2"]).select("rid", F.col("lo").alias("a"), F.col("hi").alias("b"))

@@ -330,7 +330,7 @@ def _result_rows(batches):
         for doc, text, cuts in zip(column(table, "doc_id").to_pylist(), column(table, "text").cast(pa.large_binary()).to_pylist(), column(table, "cuts").to_pylist(), strict=True):
             removed, spans, at, kept = 0, 0, 0, hashlib.sha256()
             merged: list[list[int]] = []
-            for a, b in sorted((c["a"], c["b"] + LENGTH) for c in cuts or ()):
+            for a, b in sorted((c["lo"] + x["a"], c["lo"] + x["b"] + LENGTH) for c in cuts or () for x in c["spans"]):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
@@ -371,7 +371,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     counted = _by_ranges(sized.where(F.col("n_kinds") > GROUP).select("c1", "c2", "place", "snippet"), scratch)
     marks = scratch.save(indexed.unionByName(counted), "marks")
     # where each snippet stands: all its starts if it comes several times, else those that are marked
-    often = some.join(kinds.where("n > 1").select("c1", "c2"), ["c1", "c2"]).select("rid", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    partly = some.join(marks, ["c1", "c2"]).select("rid", "lo", F.explode("spans").alias("s")).select("rid", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b")).alias("b"))
-    removed = scratch.save(often.unionByName(partly).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("cuts")), "removed")
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).cast("int").alias("b")))
+    often = some.join(kinds.where("n > 1").select("c1", "c2"), ["c1", "c2"]).select("rid", "lo", whole.alias("spans"))
+    partly = kinds.where("n = 1").join(marks, ["c1", "c2"]).select("rid", "lo", "spans")
+    removed = scratch.save(often.unionByName(partly).groupBy("rid").agg(F.collect_set(F.struct("lo", "spans")).alias("cuts")), "removed")
     return texts.join(removed, "rid", "left").select("doc_id", "text", "cuts").mapInArrow(_result_rows, RESULT)

@@ -1,7 +1,9 @@
 """Toxicity by maximum-scoring segments (operator 5).
 
 Each word, and each beginning of words of 4 to 6 letters, gets its log-odds between toxic and clean
-labelled documents under an informative Dirichlet prior (Monroe et al., 2008). A token scores as the
+labelled documents under a Dirichlet prior of fixed weight (Monroe et al., 2008). Whether they are significant
+is told by the likelihood ratio (Dunning, 1993), which holds for units that one class never shows, up to a
+limit that chance passes once among all units. A token scores as the
 most significant of its word and its beginnings, so new forms of a known stem count as well; one without
 significant odds costs a small penalty. A linear scan
 (Ruzzo and Tompa, 1999) finds every maximal-scoring passage of a document. Their scores are put on the
@@ -15,6 +17,8 @@ a choice by hashed id; their ids are what is broadcast. Every word of every text
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,8 +32,8 @@ from .common import chunks, column
 SAMPLE_ROWS = 20_000
 #: Lengths of the beginnings of words.
 BEGINNINGS = (4, 5, 6)
-#: Weight of the prior as a share of the sample's counts, least |z| of a word that counts, and what any other word costs.
-PRIOR, LEAST_Z, PENALTY = 0.01, 5.0, 0.15
+#: Documents of each class that the prior adds to a unit, units expected to count by chance alone, and what a word that does not count costs.
+PRIOR, BY_CHANCE, PENALTY = 0.5, 1.0, 0.15
 SCORED = "doc_id long, score double, n_passages long, best_start long, best_length long"
 
 
@@ -87,11 +91,12 @@ class ToxicWords:
         order = np.argsort(words)
         words, toxic, clean = words[order], toxic[order].astype(float), clean[order].astype(float)
         n_t, n_c = toxic.sum(), clean.sum()
-        prior = PRIOR * (toxic + clean)
-        weight = prior.sum()
-        odds = np.log((toxic + prior) / (n_t + weight - toxic - prior)) - np.log((clean + prior) / (n_c + weight - clean - prior))
-        z = odds / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
-        counts = np.abs(z) >= LEAST_Z
+        weight = PRIOR * len(words)
+        odds = np.log((toxic + PRIOR) / (n_t + weight - toxic - PRIOR)) - np.log((clean + PRIOR) / (n_c + weight - clean - PRIOR)) if len(words) else np.zeros(0)
+        both, share = toxic + clean, n_t / max(n_t + n_c, 1)
+        ratio = sum(own * np.log(np.where(own > 0, own / np.maximum(both * part, 1e-300), 1.0)) for own, part in ((toxic, share), (clean, 1 - share)))
+        z = np.sign(odds) * np.sqrt(2 * np.maximum(ratio, 0))
+        counts = np.abs(z) >= NormalDist().inv_cdf(1 - BY_CHANCE / max(len(words), 20))
         self.units, self.odds, self.z = words[counts], np.maximum(odds[counts], -2.0), np.abs(z[counts])
         self.scale, self.log_k = 1.0, 0.0
         self.curve = np.zeros(4)

@@ -79,3 +79,18 @@ def test_whole_table(spark, sf):
     apart = held_out(F.col("doc_id"), 3, 1)
     got = toxicity.score(docs, toxicity.fit(docs, labels, ~apart)).join(labels, "doc_id").where(apart & (F.col("toxic") == 0)).agg(F.avg((F.col("score") < 0.7).cast("double"))).first()[0]
     assert got > 0.97
+
+
+def test_units_of_toxic_documents_alone_count():
+    units = np.arange(400, dtype=np.uint64)
+    toxic, clean = np.full(400, 4), np.full(400, 40)
+    toxic[0], clean[0] = 8, 0  # in 8 toxic documents and in no clean one
+    model = toxicity.ToxicWords(units, toxic, clean)
+    assert model.units.tolist() == [0] and model.odds[0] > 2
+
+
+def test_recall_of_held_out_toxic_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    apart = held_out(F.col("doc_id"), 3, 1)
+    got = toxicity.score(docs, toxicity.fit(docs, labels, ~apart)).join(labels, "doc_id").where(apart & (F.col("toxic") == 1)).agg(F.avg((F.col("score") >= 0.7).cast("double"))).first()[0]
+    assert got > 0.7

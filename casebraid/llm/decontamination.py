@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column
+from .common import Scratch, chunks, column
 from .shingles import mix, rolling, word_hashes
 
 BLOCKS, RADIUS, SIZE = 16, 39, 5
@@ -153,8 +153,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
             for table in chunks(batches):
                 hashes, ends = words_of(column(table, "text"))
                 every = rolling(hashes, SIZE)
-                possible = known.seen[(every >> np.uint64(42)).astype(np.int64)]
-                before = np.concatenate([[0], np.cumsum(possible)])
+                # how many of the shingles before each word may be an item's; no shingle begins at a chunk's last words
+                before = np.zeros(len(hashes) + 1, np.int64)
+                before[1 : len(every) + 1] = np.cumsum(known.seen[(every >> np.uint64(42)).astype(np.int64)])
+                before[len(every) + 1 :] = before[len(every)]
                 found = []
                 for doc, a, b in zip(column(table, "doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     last = max(a, b - SIZE + 1)
@@ -174,4 +176,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The documents, with all their columns, that hold no item; rows without doc_id stay."""
     bad = contaminated(documents, benchmark, threshold).where("doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
+    bad = Scratch(documents.sparkSession, "leaks").save(bad, "bad")  # a table of known size: few ids need no shuffle of whole texts
     return documents.join(bad, documents["doc_id"] == bad["__bad"], "left_anti")

@@ -82,3 +82,30 @@ def test_empty_tables(spark):
     assert dc.contaminated(docs.limit(0), bench).count() == dc.contaminated(docs, bench.limit(0)).count() == 0
     assert [r.doc_id for r in dc.decontaminate(docs, bench).collect()] == [None]
     assert dc.decontaminate(docs, bench.limit(0)).count() == 2
+
+
+def test_chunks_that_end_in_short_texts(spark):
+    """The last texts of a chunk have 0 to 4 words, in every order."""
+    item = "one two three four five six"
+    ends = ["", None, "one", "one two", "one two three", "one two three four"]
+    for tail in [ends, ends[::-1], [""], ["one two three four", ""]]:
+        docs = [(0, f"so {item} on"), *enumerate(tail, 1)]
+        frame = spark.createDataFrame([(d, t, 0, 0.0) for d, t in docs], DOCS).coalesce(1)
+        bench = spark.createDataFrame([(7, item, 0), (8, "one two", 0)], "item_id long, text string, doc_id int")
+        got = {(r.doc_id, r.item_id) for r in dc.contaminated(frame, bench).collect()}
+        assert got == set(brute_force(docs, [(7, item), (8, "one two")]))
+
+
+def test_radius_keeps_similar_windows():
+    """Of windows of similarity 0.75 and more to an item, of 10 to 200 words, at least 0.995 lie within RADIUS."""
+    rng, seen, near = random.Random(5), 0, 0
+    while seen < 1500:
+        own = np.array([rng.getrandbits(64) for _ in range(rng.randrange(10, 200))], np.uint64)
+        other = own.copy()
+        for _ in range(rng.randrange(1, 2 + len(own) // 20)):
+            other[rng.randrange(len(own))] = rng.getrandbits(64)
+        a, b = dc.window_shingles(own), dc.window_shingles(other)
+        if dc.similarity(a, b) >= 0.75:
+            seen += 1
+            near += int(dc._BITS[dc.fingerprint(a) ^ dc.fingerprint(b)].sum()) <= dc.RADIUS
+    assert near >= 0.995 * seen

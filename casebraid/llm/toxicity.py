@@ -257,15 +257,14 @@ def score(documents: DataFrame, model: ToxicWords) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, model: ToxicWords, most: float = 0.7) -> DataFrame:
-    """The documents, with all their columns, that score below most."""
+    """The documents, with all their columns, that score below most; a null text scores as an empty one and stays null."""
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         known = held.value
-        for table in chunks(batches):
-            features, _ = known.features(column(table, "text"))
-            good = pa.array(known.scores(features) < most)
-            for batch in table.filter(good).to_batches():
-                yield batch
+        for batch in batches:
+            good = [known.scores(known.features(column(table, "__said"))[0]) < most for table in chunks([batch], "__said")]
+            if good:
+                yield batch.drop_columns(["__said"]).filter(pa.array(np.concatenate(good)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.withColumn("__said", F.col("text").cast("string")).mapInArrow(run, documents.schema)

@@ -94,3 +94,11 @@ def test_recall_of_held_out_toxic_documents(spark):
     apart = held_out(F.col("doc_id"), 3, 1)
     got = toxicity.score(docs, toxicity.fit(docs, labels, ~apart)).join(labels, "doc_id").where(apart & (F.col("toxic") == 1)).agg(F.avg((F.col("score") >= 0.7).cast("double"))).first()[0]
     assert got > 0.7
+
+
+def test_keep_clean_keeps_nulls_and_columns(spark):
+    docs, labels = corpus(spark)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    rows = spark.createDataFrame([(1, None, "a", 1.0), (2, "", "b", 2.0), (None, "banlan", None, None), (4, "scumbag vilest scumbag foulmouth", "c", 3.0)], docs.schema)
+    assert sorted(map(tuple, toxicity.keep_clean(rows, model).collect()), key=str) == sorted([(1, None, "a", 1.0), (2, "", "b", 2.0), (None, "banlan", None, None)], key=str)
+    assert toxicity.keep_clean(rows.limit(0), model).count() == 0

@@ -1,10 +1,11 @@
 """Exact duplicates by stateful streaming (operator 9), in DataFrame operations only.
 
 A stream over the documents keeps one state row for each digest, without a watermark and so without
-expiry, in the disk-backed RocksDB store: the digest, the smallest doc_id and how often it came. A
-stream that goes on with the same checkpoint folder keeps what it has seen. The state's rows lead to
-the texts (the locator is the doc_id): every hit is compared with the kept text in full, and rows
-that share a digest but not their text are grouped anew by the text itself.
+expiry, in the disk-backed RocksDB store: the digest, the smallest doc_id (the stable identifier), the file
+that holds it (the content's locator) and how often the digest came. What a batch changed in the state goes to
+a table beside the stream's checkpoint, so a later run with the same folder reads the new files alone and still
+knows every digest ever seen. Every hit is compared with the kept text in full, and rows that share a digest but
+not their text are grouped anew by the text itself.
 """
 
 from __future__ import annotations
@@ -58,28 +59,36 @@ def _stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def seen_digests(spark: SparkSession, path: str, schema: T.StructType, scratch: Scratch, checkpoint: str | None = None, files_per_batch: int = 100_000, hashed=digest) -> DataFrame:
-    """digest, keep_id, group_size of all documents under path, as the stream's state has them after what is there now."""
-    counted = _stream(spark, path, schema, files_per_batch).select(F.col("doc_id").cast("long").alias("doc_id"), hashed(normalised(F.col("text"))).alias("digest"))
-    state = counted.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = f"{scratch.path}/seen"
+_SEEN = "digest string, keep_id long, keep_file string, group_size long, batch int"
+
+
+def seen_digests(spark: SparkSession, path: str, schema: T.StructType, folder: str, files_per_batch: int = 100_000, hashed=digest) -> DataFrame:
+    """digest, keep_id, keep_file, group_size of all documents that runs with this folder have seen, this one included.
+
+    folder/stream is the stream's checkpoint, folder/seen holds the changes of each batch.
+    """
+    read = _stream(spark, path, schema, files_per_batch)
+    counted = read.select(F.col("doc_id").cast("long").alias("doc_id"), hashed(normalised(F.col("text"))).alias("digest"), F.col("_metadata.file_path").alias("file"))
+    state = counted.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.min_by("file", "doc_id").alias("keep_file"), F.count("*").alias("group_size"))
+    out = f"{folder}/seen"
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")  # a batch that runs again replaces itself
 
+    put(spark.createDataFrame([], _SEEN).drop("batch"), -1)  # so that the table is there, whether or not a batch comes
     with _settings(spark, _STORE):
-        query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{scratch.path}/stream").foreachBatch(put).start()
+        query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/stream").foreachBatch(put).start()
         query.awaitTermination()
-    rows = T.StructType([T.StructField("digest", T.StringType()), T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("batch", T.IntegerType())])
-    if query.lastProgress is None and not query.recentProgress:
-        return spark.createDataFrame([], rows).drop("batch")
-    seen = spark.read.schema(rows).option("basePath", out).parquet(out)
-    return seen.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))  # the smallest id only falls, the count only grows
+    seen = spark.read.schema(_SEEN).option("basePath", out).parquet(out)
+    # of a digest's changes the smallest id only falls and the count only grows
+    return seen.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.min_by("keep_file", "keep_id").alias("keep_file"), F.max("group_size").alias("group_size"))
 
 
 def exact_duplicates(spark: SparkSession, path: str, checkpoint: str | None = None, files_per_batch: int = 100_000, hashed=digest) -> DataFrame:
-    """The documents (doc_id, text) in the Parquet files under path to doc_id, keep_id, group_size, kept, text_sha256.
+    """The documents (doc_id, text) in the Parquet files under path to doc_id, keep_id, group_size, kept, text_sha256, keep_file.
 
+    checkpoint: a shared folder in which later runs go on; each returns a row for every row now under path, and group_size
+    counts what the runs have seen, so files are to be added, not taken away or rewritten. Without one, a run stands alone.
     A row for each row. Null counts as the empty text. Of equal texts the smallest doc_id stays; rows that repeat that
     doc_id are all kept (they are one document). Rows without doc_id are counted, but never stay before one with an id:
     in a group of such rows alone keep_id is null and all are kept. Other columns are ignored; no files or no rows give no rows.
@@ -87,7 +96,7 @@ def exact_duplicates(spark: SparkSession, path: str, checkpoint: str | None = No
     """
     documents = spark.read.parquet(path)
     scratch = Scratch(spark, "exact")
-    seen = scratch.save(seen_digests(spark, path, documents.schema, scratch, checkpoint, files_per_batch, hashed), "state")
+    seen = scratch.save(seen_digests(spark, path, documents.schema, checkpoint or f"{scratch.path}/runs", files_per_batch, hashed), "state")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = normalised(F.col("text"))
     named = rows.select("doc_id", hashed(text).alias("digest"), digest(text).alias("text_sha256"))
@@ -104,5 +113,5 @@ def exact_duplicates(spark: SparkSession, path: str, checkpoint: str | None = No
         groups = others.groupBy("digest", "text").agg(F.min("doc_id").alias("own_keep"), F.count("*").alias("own_size"))
         split = others.join(groups, ["digest", "text"]).select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "own_keep", "own_size").dropDuplicates(["doc_id", "text_sha256"])
         lost = others.groupBy("digest").agg(F.count("*").alias("lost"))
-        out = named.join(split, ["doc_id", "text_sha256"], "left").join(lost, "digest", "left").select("doc_id", "text_sha256", F.coalesce("own_keep", "keep_id").alias("keep_id"), F.coalesce("own_size", F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"))
-    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+        out = named.join(split, ["doc_id", "text_sha256"], "left").join(lost, "digest", "left").select("doc_id", "text_sha256", F.coalesce("own_keep", "keep_id").alias("keep_id"), F.coalesce("own_size", F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"), F.when(F.col("own_keep").isNull(), F.col("keep_file")).alias("keep_file"))
+    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256", "keep_file")

@@ -14,10 +14,12 @@ _OWN_ROOT: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local runs, tests) a temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one in local mode (tests), else an error."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = context.applicationId
         if app not in _OWN_ROOT:
             _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="casebraid-")

@@ -138,7 +138,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
     threshold = percent / 100
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        return scratch.save(_sets(documents.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), name)
+        # as a table of known size, few ids meet the texts where these are, without a shuffle of whole texts
+        some = scratch.save(ids.select(F.col("id").alias("doc_id")).distinct(), f"ids_{name}")
+        return scratch.save(_sets(documents.join(some, "doc_id", "left_semi"), size), name)
 
     candidates = buckets.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
     alike = scratch.save(_alike(candidates, signatures, threshold), "alike")
@@ -164,6 +166,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
 def keep_one(documents: DataFrame, percent: int = 75) -> DataFrame:
     """The documents, with all their columns, without those that near-duplicate one that stays."""
     gone = near_duplicates(documents, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = Scratch(documents.sparkSession, "near_gone").save(gone, "gone")
     return documents.join(gone, documents["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 

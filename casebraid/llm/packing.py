@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences (operator 6), by hierarchical residual packing.
 
-Every partition packs its pieces by best fit in decreasing order. Bins that are nearly full are
-final; underfull bins go up a tree as items of their fill, eight partitions to one, and are packed
-again, until one node is left. A node keeps few underfull bins, so what reaches the root is small
-whatever the size of the corpus: the tree's height grows with the logarithm of the partitions.
+Every partition packs its pieces by best fit in decreasing order. Bins that are nearly full, so that
+not even the smallest underfull bin of the level fits in, are final; the others go up a tree as items
+of their fill, eight partitions to one, and are packed again, until one node is left. No node gets more
+than a bounded number of items: where more are open, a level has more nodes, and the tree ends when a
+level that has no fewer nodes than the one before joins no bins any more.
 """
 
 from __future__ import annotations
@@ -199,8 +200,8 @@ def _pack_partitions(items: DataFrame, capacity: int, level: int) -> DataFrame:
 def pack(items: DataFrame, capacity: int = 2048, fan_in: int = 8, slack: int = 0, per_task: int = 200_000) -> DataFrame:
     """items (any columns, and length from 1 to capacity) with sequence_id and offset: gapless places from 0.
 
-    A bin with at most slack free is nearly full and so final; others go up the tree. per_task is how many
-    items a partition packs at once at most, by which it is split before: it bounds a task's memory.
+    A bin with at most slack free, or with less free than the least fill of an open bin, is final; others go up the tree.
+    per_task is about how many items a node packs at most, on every level: it bounds a task's memory.
     """
     spark = items.sparkSession
     scratch = Scratch(spark, "packing")
@@ -208,15 +209,25 @@ def pack(items: DataFrame, capacity: int = 2048, fan_in: int = 8, slack: int = 0
     n = named.count()
     parts = max(1, -(-n // per_task), min(64, n // 2000))
     todo = named.where(F.col("length") < capacity).select(F.col("__child").alias("child"), F.col("length").alias("size"))
-    level, links = 0, []
+    level, links, before, stuck = 0, [], n, False
     while True:
-        placed = scratch.save(_pack_partitions(todo.repartition(parts, F.xxhash64("child")) if level == 0 else todo.coalesce(parts) if parts > 1 else todo.repartition(1), capacity, level), f"level{level}")
+        # a level with as many nodes as before deals the bins anew, so that others meet
+        dealt = todo.repartition(parts, F.xxhash64("child")) if level == 0 or stuck else todo.coalesce(parts) if parts > 1 else todo.repartition(1)
+        placed = scratch.save(_pack_partitions(dealt, capacity, level), f"level{level}")
         links.append(placed)
         if parts == 1:
             break
         level += 1
-        parts = -(-parts // fan_in)
-        todo = placed.where(F.col("fill") < capacity - slack).select(F.col("bin").alias("child"), F.col("fill").alias("size")).distinct()
+        bins = scratch.save(placed.where(F.col("fill") < capacity - slack).select(F.col("bin").alias("child"), F.col("fill").alias("size")).distinct(), f"open{level}")
+        least = bins.agg(F.min("size")).first()[0]
+        if least is None:
+            break
+        todo = bins.where(capacity - F.col("size") >= least)
+        left = todo.count()
+        if not left or (stuck and left > 0.99 * before):
+            break
+        wanted = max(-(-parts // fan_in), -(-left // per_task))
+        stuck, before, parts = wanted >= parts, left, min(wanted, parts)
     # from the root down: where each bin of a level ends up
     final = None
     for placed in reversed(links):

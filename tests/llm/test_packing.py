@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from casebraid.llm import packing
@@ -76,6 +77,28 @@ def test_levels_of_the_tree(spark, per_task):
     assert max(fill.values()) <= 100 and len(fill) <= sum(fill.values()) / 100 * 1.08
 
 
+@pytest.mark.parametrize("sizes", [[60], [55, 58, 61, 90], [51, 60, 3]])
+def test_items_that_cannot_be_paired(spark, monkeypatch, sizes):
+    """Nearly all items take over half a sequence: no task packs many more than per_task, on any level."""
+    rng, most = random.Random(2), []
+    rows = [(k, rng.choice(sizes) if k % 50 else 70) for k in range(3000)]
+    whole = packing._pack_partitions
+
+    def watched(items, capacity, level):
+        most.append(items.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return whole(items, capacity, level)
+
+    monkeypatch.setattr(packing, "_pack_partitions", watched)
+    got = pack(spark.createDataFrame(rows, "name int, length long"), 100, per_task=200).collect()
+    assert max(most) < 400 and len(most) < 12
+    fill = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert fill.get(r.sequence_id, 0) == r.offset
+        fill[r.sequence_id] = r.offset + r.length
+    large = sum(n > 50 for _, n in rows)
+    assert len(got) == 3000 and max(fill.values()) <= 100 and len(fill) <= large + 60
+
+
 def test_no_rows(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     assert packing.MEMO_WORDS > 0

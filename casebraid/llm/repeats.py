@@ -38,13 +38,13 @@ LENGTH, K = 400, 32
 #: The most distinct snippets of an anchor hash that one index takes, and about how many bytes an index holds.
 GROUP, INDEX_BYTES = 512, 1 << 20
 #: The widths of ranges of starts, from coarse to single ones; and of those by which an index passes over snippets.
-WIDTHS, INDEX_WIDTH = (64, 8, 1), 32
+WIDTHS, INDEX_WIDTH = (128, 16, 1), 32
 _PIECE, _PLACE_BITS = 8 << 20, 24
 _RNG = np.random.default_rng(40_961)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
 _POWERS: list[np.ndarray] = []
-ANCHORS = "rid long, h long, c1 long, c2 long, lo long, hi long, place int"
+ANCHORS = "rid long, did long, h long, c1 long, c2 long, lo long, hi long, place int"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +118,8 @@ def _anchor_rows(batches):
         # the place of the anchor tells apart equal bytes that are owned by other anchors
         codes = np.frombuffer(b"".join(digest(whole[a : b + LENGTH], p) for a, b, p in zip(lo.tolist(), hi.tolist(), (place - lo).tolist(), strict=True)), "<i8").reshape(-1, 2)
         base = ends[text]
-        rid = column(table, "rid").to_numpy(zero_copy_only=False)[text]
-        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(h.view(np.int64)), pa.array(codes[:, 0]), pa.array(codes[:, 1]), pa.array(lo - base), pa.array(hi - base), pa.array((place - lo).astype(np.int32))], names=["rid", "h", "c1", "c2", "lo", "hi", "place"])
+        rid, did = (column(table, c).to_numpy(zero_copy_only=False)[text] for c in ("rid", "did"))
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(did), pa.array(h.view(np.int64)), pa.array(codes[:, 0]), pa.array(codes[:, 1]), pa.array(lo - base), pa.array(hi - base), pa.array((place - lo).astype(np.int32))], names=["rid", "did", "h", "c1", "c2", "lo", "hi", "place"])
 
 
 class RunIndex:
@@ -355,16 +355,18 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     scratch = Scratch(spark, "repeats")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))  # equal rows share it: each then repeats the other
-    every = scratch.save(texts.where(F.octet_length("text") >= LENGTH).select("rid", "text").mapInArrow(_anchor_rows, ANCHORS), "anchors")
+    # equal rows share both: each then repeats the other. Two texts of one doc_id alone could be taken for one by their hash
+    texts = texts.withColumns({"rid": F.xxhash64("text", "doc_id"), "did": F.coalesce("doc_id", F.xxhash64(F.lit(3), "text"))})
+    row = ["rid", "did"]
+    every = scratch.save(texts.where(F.octet_length("text") >= LENGTH).select(*row, "text").mapInArrow(_anchor_rows, ANCHORS), "anchors")
     twice = every.groupBy("h").agg(F.count("*").alias("n_h")).where("n_h > 1").select("h")
     some = scratch.save(every.join(twice, "h", "left_semi"), "repeated")
     scratch.drop("anchors")
-    kinds = scratch.save(some.groupBy("c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("h", "rid", "lo", "hi", "place"))), "kinds")
+    kinds = scratch.save(some.groupBy("c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("h", *row, "lo", "hi", "place"))), "kinds")
     sizes = kinds.groupBy("h").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1")
-    wanted = kinds.join(sizes, "h").select("rid", "h", "c1", "c2", "lo", "hi", "place")
-    cuts = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "c1", "c2", "lo", "hi", "place")).alias("cuts"))
-    once = texts.join(cuts, "rid").select("text", "cuts")
+    wanted = kinds.join(sizes, "h").select(*row, "h", "c1", "c2", "lo", "hi", "place")
+    cuts = wanted.groupBy(*row).agg(F.collect_list(F.struct("h", "c1", "c2", "lo", "hi", "place")).alias("cuts"))
+    once = texts.join(cuts, row).select("text", "cuts")
     snippets = scratch.save(once.mapInArrow(_snippet_rows, "h long, c1 long, c2 long, place int, snippet binary").dropDuplicates(["c1", "c2"]), "snippets")
     sized = snippets.join(sizes, "h")
     indexed = sized.where(F.col("n_kinds") <= GROUP).select("h", "c1", "c2", "snippet", "place").repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(_index_rows, MARKS)
@@ -372,7 +374,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     marks = scratch.save(indexed.unionByName(counted), "marks")
     # where each snippet stands: all its starts if it comes several times, else those that are marked
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).cast("int").alias("b")))
-    often = some.join(kinds.where("n > 1").select("c1", "c2"), ["c1", "c2"]).select("rid", "lo", whole.alias("spans"))
-    partly = kinds.where("n = 1").join(marks, ["c1", "c2"]).select("rid", "lo", "spans")
-    removed = scratch.save(often.unionByName(partly).groupBy("rid").agg(F.collect_set(F.struct("lo", "spans")).alias("cuts")), "removed")
-    return texts.join(removed, "rid", "left").select("doc_id", "text", "cuts").mapInArrow(_result_rows, RESULT)
+    often = some.join(kinds.where("n > 1").select("c1", "c2"), ["c1", "c2"]).select(*row, "lo", whole.alias("spans"))
+    partly = kinds.where("n = 1").join(marks, ["c1", "c2"]).select(*row, "lo", "spans")
+    removed = scratch.save(often.unionByName(partly).groupBy(*row).agg(F.collect_set(F.struct("lo", "spans")).alias("cuts")), "removed")
+    return texts.join(removed, row, "left").select("doc_id", "text", "cuts").mapInArrow(_result_rows, RESULT)

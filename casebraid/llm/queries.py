@@ -26,9 +26,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     root = f"{scratch.path}/archive"
-    captures = scratch.save(warc.write_archives(_table(spark, sf_dir, "pages"), root), "captures")
+    pages = _table(spark, sf_dir, "pages")
+    captures = scratch.save(warc.write_archives(pages, root), "captures")
     directory = scratch.save(warc.build_index(captures, root), "directory")
-    records = warc.read_records(warc.all_captures(directory, root), root)
+    records = warc.read_records(warc.lookup(pages.select("url"), directory, root), root)
     return warc.summary(scratch.save(records.select("page_id", "payload_digest", "record_type", "refers_to", "payload"), "records"))
 
 
@@ -66,7 +67,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+    return exact_duplicates(spark, f"{sf_dir}/documents.parquet").drop("keep_file")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ write_archives() writes a gzip member for each page; of equal payloads one recor
 others revisit it. build_index() sorts the captures by their key (the host's labels in reverse, then the
 path) over range partitions and writes them as compressed blocks, with a sparse directory of the blocks'
 first keys. lookup() finds a key's blocks by binary search in the directory, reads just these, and
-searches in them; read_records() then reads just the records' bytes. Files are written and read through
+searches in them by binary search again; read_records() then reads just the records' bytes. Files are written and read through
 pyarrow's file systems in the shared folder. A task that runs again writes new files; only those of the
 attempt that succeeded are in the index.
 """
@@ -190,16 +190,32 @@ def all_captures(directory: DataFrame, root: str) -> DataFrame:
     return directory.mapInArrow(run, CAPTURES)
 
 
+def _keys(urls: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string())], names=["key"])
+
+    return urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(run, "key string").distinct()
+
+
+BLOCKS = "key string, file string, start long, length long"
+
+
 def lookup(urls: DataFrame, directory: DataFrame, root: str, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
-    """urls (url) to the captures of their keys. The directory is broadcast in slices of bounded size, by ranges of keys."""
+    """urls (url; null has the empty key) to the captures of their keys, each once.
+
+    Each key is sought by binary search in the sparse directory, which is broadcast in slices of bounded size, by ranges
+    of keys. The blocks found are dealt out, so a key of very many captures is read by many tasks; each block is read
+    once, by its range, and searched for all its keys.
+    """
     spark = urls.sparkSession
     cuts = [None]
     blocks = directory.count()
     n = -(-blocks // slice_blocks)
     if n > 1:
         cuts += sorted({r[0] for r in directory.select("first").sample(fraction=min(1.0, 20 * n / blocks), seed=1).collect()})[:: max(1, 20)]
-    out = spark.createDataFrame([], CAPTURES)
-    keyed = urls.select(F.col("url").cast("string").alias("url")).where("url is not null").distinct()
+    found = spark.createDataFrame([], BLOCKS)
+    keys = _keys(urls)
     for low, high in zip(cuts, [*cuts[1:], None], strict=True):
         part = directory
         part = part if low is None else part.where(F.col("first") >= low)
@@ -210,29 +226,39 @@ def lookup(urls: DataFrame, directory: DataFrame, root: str, slice_blocks: int =
             rows = sorted([*(tuple(r) for r in before), *rows])
         held = spark.sparkContext.broadcast(rows)
 
-        def run(batches, held=held, low=low, high=high):
-            system, base = _system(root)
-            handles: dict = {}
+        def seek(batches, held=held, low=low, high=high):
             blocks = held.value
             firsts = [b[0] for b in blocks]
             for batch in batches:
                 out = []
-                for key in sorted({url_key(u) for u in batch.column("url").to_pylist()}):
+                for key in batch.column("key").to_pylist():
                     if low is not None and key < low or high is not None and key >= high:
                         continue
                     at = max(0, bisect.bisect_left(firsts, key) - 1)
                     while at < len(blocks) and firsts[at] <= key:
-                        _, file, start, length = blocks[at]
-                        lines = [json.loads(x) for x in gzip.decompress(_read(system, handles, f"{base}/{file}", start, length)).decode().split("\n")]
-                        k = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                        while k < len(lines) and lines[k][0] == key:
-                            out.append(tuple(lines[k]))
-                            k += 1
+                        out.append((key, *blocks[at][1:]))
                         at += 1
-                yield _rows(out, CAPTURES)
+                yield _rows(out, BLOCKS)
+
+        found = found.unionByName(keys.mapInArrow(seek, BLOCKS))
 
-        out = out.unionByName(keyed.mapInArrow(run, CAPTURES))
-    return out.distinct()
+    def read(batches):
+        system, base = _system(root)
+        handles: dict = {}
+        block, lines = None, []
+        for batch in batches:
+            out = []
+            for key, *place in zip(*(batch.column(c).to_pylist() for c in ("key", "file", "start", "length")), strict=True):
+                if place != block:
+                    block, lines = place, [json.loads(x) for x in gzip.decompress(_read(system, handles, f"{base}/{place[0]}", *place[1:])).decode().split("\n")]
+                k = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                while k < len(lines) and lines[k][0] == key:
+                    out.append(tuple(lines[k]))
+                    k += 1
+            yield _rows(out, CAPTURES)
+
+    dealt = (found.distinct() if n > 1 else found).repartition("file", "start").sortWithinPartitions("file", "start", "key")
+    return dealt.mapInArrow(read, CAPTURES)
 
 
 def read_records(captures: DataFrame, root: str) -> DataFrame:

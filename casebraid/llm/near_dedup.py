@@ -7,8 +7,8 @@ from alternating large-star and small-star.
 
 A band's bucket can hold a third of a corpus, so its pairs are never emitted. Each bucket links its
 members to one of them (the hub), which makes as many candidates as members. Where several components
-are left in a bucket, its members are compared by their signatures inside tiles of bounded size; those
-with a likely partner in another component then meet with their full sets, again in tiles, and each tile
+are left in a bucket, its members are compared by their signatures inside tiles of bounded size, a pair only in
+the first bucket that it shares; those with a likely partner in another component then meet with their full sets, again in tiles, and each tile
 only tells the links that join components: no more than it has members. A bucket too large for few tiles
 is re-dealt by pairs of bands before, so the work stays far from quadratic while no candidate is given up.
 
@@ -185,7 +185,7 @@ def _likely(apart: DataFrame, signatures: DataFrame, threshold: float, scratch:
         sizes = now.groupBy("key").agg(F.count("*").alias("n_bucket"))
         sized = now.join(sizes, "key")
         last = depth == 3
-        found.append(scratch.save(_tiled(sized if last else sized.where(F.col("n_bucket") <= MOST_TILED), signatures, threshold), f"likely{depth}"))
+        found.append(scratch.save(_tiled(sized if last else sized.where(F.col("n_bucket") <= MOST_TILED), signatures, threshold, depth == 0), f"likely{depth}"))
         large = None if last else scratch.save(sized.where(F.col("n_bucket") > MOST_TILED).select("key", "id", "root"), f"large{depth}")
         if large is None or large.isEmpty():
             break
@@ -202,18 +202,23 @@ def _tiles(members: DataFrame, blocks) -> DataFrame:
     return cut.withColumns({"b0": F.least("block", "other"), "b1": F.greatest("block", "other")})
 
 
-def _tiled(members: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+def _tiled(members: DataFrame, signatures: DataFrame, threshold: float, once: bool) -> DataFrame:
+    """key, id, root of the members with a likely partner; once: where key is the first band that both share."""
     tiles = _tiles(members, F.ceil(F.col("n_bucket") / BLOCK).cast("long")).select("key", "id", "root", "b0", "b1")
-    rows = tiles.join(signatures.select("id", "n", "signature").dropDuplicates(["id"]), "id")
+    rows = tiles.join(signatures.select("id", "n", "signature", *(["bands"] if once else [])).dropDuplicates(["id"]), "id")
 
     def compare(key, table):
         ids, roots, n = (table.column(c).to_numpy() for c in ("id", "root", "n"))
         codes = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS) if once else None
         good = np.zeros(len(ids), bool)
         for i in range(len(ids) - 1):
             j = np.flatnonzero((roots[i + 1 :] != roots[i]) & (np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]) - 1e-9)) + i + 1
             if len(j):
                 j = j[(codes[j] == codes[i]).mean(axis=1) >= threshold - SLACK]
+                if once and len(j):
+                    shared = bands[j] == bands[i]  # none where a repeated doc_id stands for another of its texts
+                    j = j[(bands[i][shared.argmax(axis=1)] == key[0].as_py()) | ~shared.any(axis=1)]
                 good[j] = True
                 good[i] |= bool(len(j))
         return pa.table({"key": table.column("key"), "id": table.column("id"), "root": table.column("root")}).filter(pa.array(good))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, toxicity, warc
+from . import audit, centroids, chat, language, lattice, toxicity, warc
 from .common import Scratch
 from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
@@ -74,6 +74,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.query(_table(spark, sf_dir, "documents"), language.held_out(F.col("doc_id"), 10, 0))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.divergences(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
@@ -85,6 +97,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_lattice": op11_lattice,
+    "op12_divergence": op12_divergence,
+    "op13_centroids": op13_centroids,
 }
 
 #: Only operators that SQL can express; the others are tested against brute force in tests/llm.
@@ -94,4 +109,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op12_divergence": audit.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }

@@ -30,7 +30,7 @@ FREQUENT_BYTES = 128
 ROUNDS = 2
 PRIOR = 1000.0
 #: Characters of words whose lattices are held at once; one longer word stands alone.
-LATTICE = 1 << 16
+LATTICE = 1 << 14
 #: What begins every word in the vocabulary. In a text it is an ordinary character, which only bytes spell.
 MARK = 0x2581
 _ORDINARY_MARK = 0x110000
@@ -102,10 +102,11 @@ class Lattice:
     def edges(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every end and length: the piece (-1: none) and its log weight; and of every character the log weight of its bytes."""
         rows, width = codes.shape
-        piece = np.full((rows, width, self.longest), -1, np.int32)
+        most = min(self.longest, width)
+        piece = np.full((rows, width, most), -1, np.int32)
         mixed = mix(codes.astype(np.uint64) + np.uint64(1))
         total = np.zeros((rows, width), np.uint64)
-        for size in range(1, min(self.longest, width) + 1):
+        for size in range(1, most + 1):
             total = total[:, : width - size + 1] + mixed[:, size - 1 :] * self.step[size - 1]
             keys, own = self.by_length[size - 1]
             if not len(keys):
@@ -137,7 +138,7 @@ class Lattice:
         for mine, codes, lengths in self.groups(words):
             _, weight, spelled = self.edges(codes, lengths)
             at = self._forward(weight, spelled)
-            out[mine] = at[np.arange(len(mine)), self.longest - 1 + lengths]
+            out[mine] = at[np.arange(len(mine)), weight.shape[2] - 1 + lengths]
         return out
 
     def expected(self, words: list[str]) -> np.ndarray:
@@ -213,7 +214,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """text to word, n."""
 
     def run(batches):
-        for table in chunks(batches, limit=16 << 20):
+        for table in chunks(batches):
             words, _ = split_words(column(table, "text"))
             coded = words.dictionary_encode()
             n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
@@ -283,7 +284,7 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, scratch: Scratc
     def run(batches):
         known = held.value
         base_end, score_end = known.end()
-        for table in chunks(batches, limit=16 << 20):
+        for table in chunks(batches):
             words, ends = split_words(column(table, "text"))
             coded = words.dictionary_encode()
             names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -36,35 +36,53 @@ def names(spark, sf_dir):
     return entities.longest_names(_mails(spark, sf_dir)).select("nome_normalizado", F.length("nome").alias("tamanho"), "documentos")
 
 
-#: Invented entities (doc_id, label, text) that meet every rule of every label, kept or dropped.
-_ENTITIES = [
-    (1, "pessoa", "Ana Maria Souza"), (1, "pessoa", "ANA MARIA"), (1, "pessoa", "servidora Joana Lima"), (1, "pessoa", "Membros"), (1, "pessoa", "x@y.org Ana"), (1, "pessoa", "Rui"), (1, "pessoa", "Rui Alves"),
-    (1, "pessoa_juridica", "ana maria souza"), (1, "pessoa_juridica", "Governo"), (1, "pessoa_juridica", "Obras Novas Ltda"), (2, "pessoa_juridica", "Ana Maria Souza"),
-    (1, "orgao", "Vossa Senhoria"), (1, "orgao", "Secretaria da Fazenda"), (1, "cargo", "Secretaria da Casa"), (1, "cargo", "Diretor geral"),
-    (2, "cpf", "CEP 64018"), (2, "cpf", "64018-900"), (2, "cpf", "0A1B2C3D"), (2, "cpf", "a1b2c3"), (2, "cpf", "12345678901"), (2, "cpf", "012345678"), (2, "cpf", "64.018-900"), (2, "cpf", "12345.123456/2024-11"), (2, "cpf", "123.456.789-00"),
-    (2, "cnpj", "12.345.678/0001-95"), (2, "cnpj", "ABCDEF12"), (2, "telefone", "www.site.org"), (2, "telefone", "11:10"), (2, "telefone", "Fone"), (2, "telefone", "012345678"), (2, "telefone", "(86) 3215-1234"),
-    (3, "email", "E-mail"), (3, "email", "ab@c.org"), (3, "email", "abc@d.org"), (3, "url", "site.org"), (3, "url", "HTTP://site.org"), (3, "valor_monetario", "100,00"), (3, "valor_monetario", "R$ 100,00"),
-    (3, "portaria", "Portaria"), (3, "portaria", "12345678"), (3, "portaria", "Art. 2"), (3, "portaria", "Portaria 12/2024"), (3, "contrato_edital", "Edital"), (3, "contrato_edital", "Edital 5"),
-    (3, "matricula", "numero"), (3, "matricula", ". 33445-1"), (3, "matricula", "12345.123456/2024-11"), (3, "assunto", "Autos"), (3, "assunto", "abcd"), (3, "assunto", "Compra de bens"),
-    (4, "objeto_licitacao", "bens"), (4, "objeto_licitacao", "bens novos"), (4, "vigencia", "sempre"), (4, "vigencia", "doze MESES"), (4, "lei", "13/94"), (4, "lei", "Lei 13/94"), (4, "decreto", "1.234"), (4, "decreto", "Decreto 1.234"),
-    (4, "municipio", "ab"), (4, "municipio", " Teresina "), (4, "municipio", "TERESINA"), (4, "municipio", "Teresina Norte"), (4, "municipio", "Teresina Sul"), (4, "municipio", "Teresinas"),
+#: What orders are made to say: label and text that meet every rule of every label, kept or dropped.
+_SAYINGS = [
+    ("pessoa", "Ana Maria Souza"), ("pessoa", "ANA MARIA"), ("pessoa", "Ana Maria Souza {}"), ("pessoa", "servidora Joana Lima"), ("pessoa", "Membros"), ("pessoa", "x@y.org Ana"), ("pessoa", "Rui"), ("pessoa", "Rui Alves"),
+    ("pessoa_juridica", "ana maria souza"), ("pessoa_juridica", "Governo"), ("pessoa_juridica", "Obras Novas {} Ltda"), ("pessoa_juridica", "Ana Maria Souza"),
+    ("orgao", "Vossa Senhoria"), ("orgao", "Secretaria da Fazenda"), ("cargo", "Secretaria da Casa"), ("cargo", "Diretor geral {}"),
+    ("cpf", "CEP 64018"), ("cpf", "64018-900"), ("cpf", "0A1B2C3D"), ("cpf", "a1b2c3"), ("cpf", "12345678901"), ("cpf", "012345678"), ("cpf", "64.018-900"), ("cpf", "12345.123456/2024-11"), ("cpf", "123.456.789-00"),
+    ("cnpj", "12.345.678/0001-95"), ("cnpj", "ABCDEF12"), ("telefone", "www.site.org"), ("telefone", "11:10"), ("telefone", "Fone"), ("telefone", "012345678"), ("telefone", "(86) 3215-1234"),
+    ("email", "E-mail"), ("email", "ab@c.org"), ("email", "abc@d.org"), ("url", "site.org"), ("url", "HTTP://site.org"), ("valor_monetario", "100,00"), ("valor_monetario", "R$ 100,00"),
+    ("portaria", "Portaria"), ("portaria", "12345678"), ("portaria", "Art. 2"), ("portaria", "Portaria {}/2024"), ("contrato_edital", "Edital"), ("contrato_edital", "Edital {}"),
+    ("matricula", "numero"), ("matricula", ". 33445-1"), ("matricula", "12345.123456/2024-11"), ("assunto", "Autos"), ("assunto", "abcd"), ("assunto", "Compra de bens {}"),
+    ("objeto_licitacao", "bens"), ("objeto_licitacao", "bens novos"), ("vigencia", "sempre"), ("vigencia", "doze MESES"), ("lei", "13/94"), ("lei", "Lei {}/94"), ("decreto", "1.234"), ("decreto", "Decreto 1.{}"),
+    ("municipio", "ab"), ("municipio", " Teresina "), ("municipio", "TERESINA"), ("municipio", "Teresina Norte"), ("municipio", "Teresina Sul"), ("municipio", "Teresinas"),
 ]
-_RELATIONS = [
-    (1, "assina", "Ana Souza", "Portaria 12"), (1, "assina", "Ana Souza", "Portaria 12"), (1, "assina", "Ana", "Portaria 12"), (1, "assina", "Ana Souza", "ana souza"), (1, "pede", "Processo", "Ana Souza"),
-    (2, "pede", "Ana Souza", "autos"), (2, "escreve", "ana@site.org", ".org e"), (2, "escreve", ".org e", "ana@site.org"), (2, "faz", "Ana Souza", "Curso"), (2, "faz", "Ana Souza", "curso novo"), (3, "faz", " Rui Alves ", "obra"),
+#: Likewise relations: kind, head and tail.
+_ACTS = [
+    ("assina", "Ana Souza", "Portaria 12"), ("assina", "Ana Souza", "Portaria 12"), ("assina", "Ana", "Portaria 12"), ("assina", "Ana Souza", "ana souza"), ("pede", "Processo", "Ana Souza"),
+    ("pede", "Ana Souza", "autos"), ("escreve", "ana@site.org", ".org e"), ("escreve", ".org e", "ana@site.org"), ("faz", "Ana Souza", "Curso"), ("faz", "Ana Souza", "curso novo"), ("faz", " Rui Alves ", "obra"),
 ]
 
 
-def _values(name: str, columns: str, rows: list[tuple]) -> str:
-    quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return f"{name}({columns}, place) AS (VALUES " + ", ".join(f"({', '.join(map(quoted, r))}, {k})" for k, r in enumerate(rows)) + ")"
+def _table_of(name: str, columns: str, rows: list[tuple]) -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    return f"{name}({columns}, k) AS (VALUES " + ", ".join(f"({', '.join(map(quoted, r))}, {k})" for k, r in enumerate(rows)) + ")"
 
 
-def _entities(spark):
-    return spark.createDataFrame([(*r, k) for k, r in enumerate(_ENTITIES)], "doc_id long, label string, text string, place int")
+def _from_orders(spark, sf_dir, rows: list[tuple], columns: list[str]):
+    """An entity or relation of each order: the order's number chooses a form and fills it in; its customer is the document."""
+    number = F.col("o_orderkey") * 7 + F.col("o_custkey")
+    forms = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(columns, r, strict=True))) for r in rows))
+    said = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), forms[(number % len(rows)).cast("int")].alias("f"), (F.col("o_orderkey") % 9).cast("string").alias("n"), F.col("o_orderkey").alias("place"))
+    return said.select("doc_id", *(F.replace(F.col(f"f.{c}"), F.lit("{}"), F.col("n")).alias(c) for c in columns), "place")
 
 
-_CLEAN = _values("raw", "doc_id, label, text", _ENTITIES) + r""", cut AS (SELECT doc_id, label, trim(text) AS text, lower(trim(text)) AS low, place FROM raw WHERE length(trim(text)) >= 3),
+def found_entities(spark, sf_dir):
+    return _from_orders(spark, sf_dir, _SAYINGS, ["label", "text"])
+
+
+def found_relations(spark, sf_dir):
+    return _from_orders(spark, sf_dir, _ACTS, ["tipo", "head", "tail"])
+
+
+_FILLED = "replace({0}, '{{}}', CAST(o_orderkey % 9 AS VARCHAR)) AS {0}"
+FOUND = _table_of("formas", "label, text", _SAYINGS) + f", raw AS (SELECT o_custkey AS doc_id, label, {_FILLED.format('text')}, o_orderkey AS place FROM orders JOIN formas ON (o_orderkey * 7 + o_custkey) % {len(_SAYINGS)} = k)"
+ACTS = _table_of("atos", "tipo, head, tail", _ACTS) + f", relacoes AS (SELECT o_custkey AS doc_id, tipo, {_FILLED.format('head')}, {_FILLED.format('tail')}, o_orderkey AS place FROM orders JOIN atos ON (o_orderkey * 7 + o_custkey) % {len(_ACTS)} = k)"
+
+
+_CLEAN = FOUND + r""", cut AS (SELECT doc_id, label, trim(text) AS text, lower(trim(text)) AS low, place FROM raw WHERE length(trim(text)) >= 3),
     kept AS (SELECT * FROM cut c WHERE NOT CASE label
         WHEN 'pessoa' THEN contains(text, '@') OR (NOT contains(text, ' ') AND length(text) < 6) OR low IN ('visitantes', 'membros', 'servidores', 'servidor', 'servidora', 'requerente', 'interessado', 'interessada', 'signatário')
         WHEN 'pessoa_juridica' THEN low IN ('governo', 'empresa', 'servidora', 'servidor') OR EXISTS (SELECT 1 FROM cut p WHERE p.doc_id = c.doc_id AND p.label = 'pessoa' AND p.low = c.low)
@@ -84,33 +102,33 @@ _CLEAN = _values("raw", "doc_id, label, text", _ENTITIES) + r""", cut AS (SELECT
         WHEN 'vigencia' THEN NOT regexp_matches(low, '\d|mes|ano|dia|semana|prazo|hora')
         WHEN 'lei' THEN regexp_matches(text, '^[\d./]+$') WHEN 'decreto' THEN regexp_matches(text, '^[\d./]+$') ELSE false END),
     limpas AS (SELECT doc_id, label, place, CASE label WHEN 'pessoa' THEN regexp_replace(text, '^servidora?\s+', '', 'i') WHEN 'matricula' THEN ltrim(text, '. ') ELSE text END AS text FROM kept)"""
-_KEYED = _CLEAN + """, n AS (SELECT *, strip_accents(lower(text)) AS key FROM limpas), unicas AS (SELECT doc_id, label, key, arg_max(text, length(text) * 1000 - place) AS text FROM n GROUP BY ALL),
+_KEYED = _CLEAN + """, n AS (SELECT *, strip_accents(lower(text)) AS key FROM limpas), unicas AS (SELECT doc_id, label, key, arg_max(text, length(text) * 1000000000 - place) AS text FROM n GROUP BY ALL),
     finais AS (SELECT doc_id, label, key, text FROM unicas a WHERE NOT EXISTS (SELECT 1 FROM unicas b WHERE b.doc_id = a.doc_id AND b.label = a.label AND starts_with(b.key, a.key || ' ')))"""
 
 
 @query("ner_04_all_rules", f"WITH {_CLEAN} SELECT doc_id, label, text FROM limpas")
 def all_rules(spark, sf_dir):
-    return entities.clean(_entities(spark)).select("doc_id", "label", "text")
+    return entities.clean(found_entities(spark, sf_dir)).select("doc_id", "label", "text")
 
 
 @query("ner_05_distinct", f"WITH {_KEYED} SELECT * FROM finais")
 def distinct(spark, sf_dir):
-    return entities.distinct_entities(entities.clean(_entities(spark)))
+    return entities.distinct_entities(entities.clean(found_entities(spark, sf_dir)))
 
 
-@query("ner_06_relations", f"""WITH {_values("raw", "doc_id, tipo, head, tail", _RELATIONS)} SELECT doc_id, tipo, head, tail, min(place) AS place FROM raw
+@query("ner_06_relations", f"""WITH {ACTS} SELECT doc_id, tipo, head, tail, min(place) AS place FROM relacoes
     WHERE length(trim(head)) >= 4 AND length(trim(tail)) >= 4 AND lower(trim(head)) <> lower(trim(tail)) AND lower(trim(head)) NOT IN ('processo', 'documento', 'servidor', 'servidora', 'empresa', 'requerente', 'portaria', 'ofício', 'oficio', 'autos')
     AND lower(trim(tail)) NOT IN ('processo', 'documento', 'servidor', 'servidora', 'empresa', 'requerente', 'portaria', 'ofício', 'oficio', 'autos', 'efeitos', 'curso', 'progres', 'progressão')
     AND NOT (contains(head, '@') AND starts_with(trim(tail), '.')) AND NOT (contains(tail, '@') AND starts_with(trim(head), '.')) GROUP BY ALL""")
 def relations(spark, sf_dir):
     """NER-03, NER-06."""
-    return entities.clean_relations(spark.createDataFrame([(*r, k) for k, r in enumerate(_RELATIONS)], "doc_id long, tipo string, head string, tail string, place int"))
+    return entities.clean_relations(found_relations(spark, sf_dir))
 
 
 @query("ner_09_properties", f"WITH {_KEYED} SELECT doc_id, list(text ORDER BY text) FILTER (label = 'pessoa') AS pessoas, min(text) FILTER (label = 'assunto') AS assunto FROM finais GROUP BY ALL")
 def properties(spark, sf_dir):
     """NER-09: a document's entities as lists, and the first where it has one."""
-    rows = entities.distinct_entities(entities.clean(_entities(spark)))
+    rows = entities.distinct_entities(entities.clean(found_entities(spark, sf_dir)))
     people = F.collect_list(F.when(F.col("label") == "pessoa", F.col("text")))
     return rows.groupBy("doc_id").agg(F.when(F.size(people) > 0, F.array_sort(people)).alias("pessoas"), F.min(F.when(F.col("label") == "assunto", F.col("text"))).alias("assunto"))
 
@@ -122,5 +140,5 @@ def properties(spark, sf_dir):
     (SELECT count(*) FROM t JOIN u USING (doc_id, text) WHERE t.doc_id = d.doc_id AND x <> y) AS relabeled FROM (SELECT DISTINCT doc_id FROM b) d""")
 def metrics(spark, sf_dir):
     """AGG-37, with laws given another label."""
-    after = entities.distinct_entities(entities.clean(_entities(spark))).withColumn("label", F.when(F.col("label") == "lei", "decreto").otherwise(F.col("label")))
-    return entities.set_metrics(_entities(spark), after)
+    after = entities.distinct_entities(entities.clean(found_entities(spark, sf_dir))).withColumn("label", F.when(F.col("label") == "lei", "decreto").otherwise(F.col("label")))
+    return entities.set_metrics(found_entities(spark, sf_dir), after)

@@ -149,7 +149,6 @@ def reduced(features: DataFrame, components: int = 50, rounds: int = 6, seed: in
         product, sums = times(q)
         mean = sums / n
         product -= n * np.outer(mean, mean @ q)  # the covariance, centred, without centring any row
-        small = q.T @ product
         q = np.linalg.qr(product)[0]
     product, _ = times(q)
     product -= n * np.outer(mean, mean @ q)

@@ -5,7 +5,6 @@ import pytest
 from casebraid.operators import analytics
 from casebraid.plans.registry import Stage, Stages
 from casebraid.sources import graph_files
-from casebraid.streaming.cases import merge_into
 
 
 def test_nodes_and_edges_come_back(spark, tmp_path):
@@ -28,14 +27,6 @@ def test_template_rows_without_a_key_go(spark, tmp_path):
     assert [r["source_id"] for r in graph_files.read_activity_rows(spark, str(tmp_path)).collect()] == ["1"]
 
 
-def test_a_batch_that_runs_again_gives_the_same_table(spark, tmp_path):
-    merge = merge_into(str(tmp_path), "k", "v")
-    merge(spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k int, v int"), 0)
-    for _ in range(2):
-        merge(spark.createDataFrame([(2, 5), (3, 1)], "k int, v int"), 1)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/v1").collect())) == [(1, 2), (2, 5), (3, 1)]
-
-
 def test_upsert_of_new_and_old_keys(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, t string")

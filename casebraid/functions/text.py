@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,14 +52,29 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]+>", "")
 
 
+# What the signature at the end of a document begins with; all from there on goes.
+SIGNATURES = ["Documento assinado eletronicamente", r"Referência:?\s*Processo", "A autenticidade", "Código Verificador", "código CRC", "Para verificar a assinatura"]
+
+
+def unescaped(c: Column) -> Column:
+    """Named (HTML 4) and numeric character references as characters; unknown ones stay."""
+    known = F.create_map(*(F.lit(x) for name, code in name2codepoint.items() for x in (f"&{name};", chr(code))))
+    reference = "&#?[A-Za-z0-9]{1,10};"
+
+    def one(part: Column) -> Column:
+        number = F.when(part.rlike(r"^&#\d{1,7};$"), F.regexp_extract(part, r"(\d+)", 1).cast("long")).when(part.rlike(r"(?i)^&#x[0-9a-f]{1,6};$"), F.conv(F.regexp_extract(part, r"(?i)x([0-9a-f]+)", 1), 16, 10).cast("long"))
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32"))
+        return F.when(part.rlike(f"^{reference}$"), F.coalesce(F.try_element_at(known, part), char, part)).otherwise(part)
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, f"(?={reference})|(?<={reference})"), one), "")).otherwise(c)
+
+
 def html_text(c: Column) -> Column:
-    """STR-10: the text of a page without style, script, comments and anything from a footer on."""
-    for pattern in (r"(?is)<(style|script)\b.*?</\1\s*>", r"(?s)<!--.*?-->", r"(?is)<footer\b.*"):
+    """STR-10: the text of a page without style, script, comments, the signature at its end and lone checksums."""
+    for pattern in (r"(?is)<style[^>]*>.*?</style>", r"(?is)<script[^>]*>.*?</script>", r"(?s)<!--.*?-->", rf"(?isu)(?:{'|'.join(SIGNATURES)}).*", r"(?s)<[^>]+>"):
         c = F.regexp_replace(c, pattern, " ")
-    c = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return collapse(c)
+    return collapse(F.regexp_replace(unescaped(c), r"(?U)\b[0-9A-F]{8}\b", " "))
 
 
 def chunk(c: Column, size: int = 1800, overlap: int = 200) -> Column:

@@ -332,16 +332,26 @@ def _clusters(merges: DataFrame, sizes: DataFrame, working: Working) -> tuple[Da
 
 def _selected(clusters: DataFrame, working: Working) -> DataFrame:
     """x, chosen: the cluster with most excess of mass that holds each cluster, null if there is none. A root is never chosen."""
-    have = clusters.groupBy(F.col("parent").alias("x")).agg(F.count("*").alias("children"))
-    open_ = working.save(clusters.join(have, "x", "left").fillna(0, ["children"]), "open0")
-    values = working.save(open_.where("children = 0").select("x", "parent", F.col("stability").alias("value"), F.lit(True).alias("wins")), "values0")
-    found, fresh, step = values, values, 0
-    while not fresh.isEmpty():  # a round for each height of the condensed tree
+    kids = clusters.groupBy(F.col("parent").alias("x")).agg(F.min("x").alias("l"), F.max("x").alias("r"))
+    none = F.lit(None).cast("double")
+    now = clusters.join(kids, "x", "left").select("x", "parent", "stability", "l", "r", F.when(F.col("l").isNull(), F.col("stability")).alias("value"), none.alias("a"), none.alias("b"), F.lit(None).cast("long").alias("next"))
+    now, step = working.save(now, "values0"), 0
+    # a cluster is worth max(stability, what both children are worth). With one child known that is max(a, b + the other's
+    # worth), and such functions of functions are again of that form: so the rounds follow the tree's size, not its height
+    while not now.where("value is null").isEmpty():
         step += 1
-        told = found.groupBy(F.col("parent").alias("x")).agg(F.sum("value").alias("below"), F.count("*").alias("n"))
-        ready = open_.where("children > 0").join(told, "x").where("n = children").join(found.select("x"), "x", "left_anti")
-        fresh = working.save(ready.select("x", "parent", F.greatest("stability", "below").alias("value"), (F.col("stability") >= F.col("below")).alias("wins")), f"values{step}")
-        found = found.unionByName(fresh)
+        look = lambda on: now.select(F.col("x").alias(on), *(F.col(c).alias(f"{on}_{c}") for c in ("value", "a", "b", "next")))  # noqa: B023, E731
+        met = now.join(look("l"), "l", "left").join(look("r"), "r", "left").join(look("next"), "next", "left")
+        c, unary = F.col, F.col("next").isNotNull()
+        value = F.coalesce("value", F.when(unary, F.when(c("next_value").isNotNull(), F.greatest("a", c("b") + c("next_value")))).when(c("l_value").isNotNull() & c("r_value").isNotNull(), F.greatest("stability", c("l_value") + c("r_value"))))
+        further = unary & c("next_next").isNotNull()
+        half = ~unary & (c("l_value").isNotNull() | c("r_value").isNotNull())
+        a = F.when(further, F.greatest("a", c("b") + c("next_a"))).when(unary, c("a")).when(half, c("stability"))
+        b = F.when(further, c("b") + c("next_b")).when(unary, c("b")).when(half, F.coalesce("l_value", "r_value"))
+        on = F.when(further, c("next_next")).when(unary, c("next")).when(half, F.when(c("l_value").isNull(), c("l")).otherwise(c("r")))
+        now = working.save(met.select("x", "parent", "stability", "l", "r", value.alias("value"), a.alias("a"), b.alias("b"), on.alias("next")), f"values{step}")
+    below = now.select(F.col("parent").alias("x"), "value").groupBy("x").agg(F.sum("value").alias("below"))
+    found = now.select("x", "parent", "stability").join(below, "x", "left").withColumn("wins", F.col("stability") >= F.coalesce("below", F.col("stability")))
     now = working.save(found.select("x", F.col("parent").alias("p"), F.when(F.col("wins") & F.col("parent").isNotNull(), F.col("x")).alias("chosen")), "chosen0")
     step = 0
     while not now.where("p is not null").isEmpty():

@@ -9,8 +9,9 @@ A band's bucket can hold a third of a corpus, so its pairs are never emitted. Ea
 members to one of them (the hub), which makes as many candidates as members. Where several components
 are left in a bucket, its members are compared by their signatures inside tiles of bounded size, a pair only in
 the first bucket that it shares; those with a likely partner in another component then meet with their full sets, again in tiles, and each tile
-only tells the links that join components: no more than it has members. A bucket too large for few tiles
-is re-dealt by pairs of bands before, so the work stays far from quadratic while no candidate is given up.
+only tells the links that join components: no more than it has members. Members of buckets too large for few tiles
+meet by shingles instead: sorted from the rarest on, two sets that are similar enough share one among the first
+n - ceil(0.75 n) + 1 of each, so only members that share such a shingle are put into tiles, and no pair is given up.
 
 A pair of similarity 0.75 shares none of 45 bands of 5 minima with probability 5e-6.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, column
@@ -33,7 +34,7 @@ _A = _RNG.integers(1 << 16, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 #: A signature may fall short of the threshold by so much: over five standard deviations of 225 minima at 0.75.
 SLACK = 0.15
-#: Members of a block of a signature tile, shingles of a block of a set tile, most members of a bucket that is tiled at once.
+#: Members of a block of a signature tile, shingles of a block of a set tile, most members of a bucket that meet in tiles of their bucket.
 BLOCK, BLOCK_SHINGLES, MOST_TILED = 4096, 400_000, 16_384
 _FEATURES = "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>"
 
@@ -120,7 +121,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
     """documents (doc_id, text) to doc_id, n_shingles, component_id, kept: a row for each row.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a doc_id count as one
-    document where their texts agree; with different texts, each text links that doc_id. A row without doc_id stays
+    document where their texts agree. doc_ids are to be unique: with different texts under one, each text is linked by
+    its hubs, but in buckets of several components one of these texts stands for all. A row without doc_id stays
     (component_id null, kept true). Other columns are ignored. An empty table gives no rows.
     """
     spark = documents.sparkSession
@@ -150,7 +152,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, size: int = 5) -> D
     roots = components(links, scratch, "cc0_")
     apart = _apart(buckets.select("key", "id"), roots, scratch, "apart")
     if apart is not None:
-        likely = _likely(apart, signatures, threshold, scratch)
+        likely = _likely(apart, signatures, sets_of, percent, scratch)
         if likely is not None:
             sets = sets_of(likely.select("id"), "sets_apart").dropDuplicates(["id"])
             found = scratch.save(_joining(likely, sets, percent), "links_apart")
@@ -178,24 +180,37 @@ def _apart(buckets: DataFrame, roots: DataFrame, scratch: Scratch, name: str) ->
     return None if found.isEmpty() else found
 
 
-def _likely(apart: DataFrame, signatures: DataFrame, threshold: float, scratch: Scratch) -> DataFrame | None:
+def _likely(apart: DataFrame, signatures: DataFrame, sets_of, percent: int, scratch: Scratch) -> DataFrame | None:
     """key, id, root: the members of buckets with a partner of another component that is alike by signature."""
-    found, now = [], apart
-    for depth in range(4):
-        sizes = now.groupBy("key").agg(F.count("*").alias("n_bucket"))
-        sized = now.join(sizes, "key")
-        last = depth == 3
-        found.append(scratch.save(_tiled(sized if last else sized.where(F.col("n_bucket") <= MOST_TILED), signatures, threshold, depth == 0), f"likely{depth}"))
-        large = None if last else scratch.save(sized.where(F.col("n_bucket") > MOST_TILED).select("key", "id", "root"), f"large{depth}")
-        if large is None or large.isEmpty():
-            break
-        dealt = large.join(signatures.select("id", F.explode("bands").alias("band")), "id").where("band <> key").select(F.xxhash64("key", "band").alias("key"), "id", "root")
-        mixed = dealt.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        now = scratch.save(dealt.join(mixed, "key"), f"dealt{depth}")
+    threshold = percent / 100
+    sized = apart.join(apart.groupBy("key").agg(F.count("*").alias("n_bucket")), "key")
+    found = [scratch.save(_tiled(sized.where(F.col("n_bucket") <= MOST_TILED), signatures, threshold, True), "likely0")]
+    large = scratch.save(sized.where(F.col("n_bucket") > MOST_TILED).select("id", "root").distinct(), "large")
+    if not large.isEmpty():
+        shared = scratch.save(_by_prefix(large, sets_of(large.select("id"), "sets_large").dropDuplicates(["id"]), percent), "shared")
+        found.append(scratch.save(_tiled(shared.join(shared.groupBy("key").agg(F.count("*").alias("n_bucket")), "key"), signatures, threshold, False), "likely1"))
     every = _union(found)
     return None if every.isEmpty() else scratch.save(every.distinct(), "likely")
 
 
+def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, id, root: members (id, root) by the shingles of their prefixes that members of several components have."""
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column("shingles").to_pylist()
+            n = np.array([len(s) // 8 for s in own], np.int64)
+            take = lambda name: batch.column(name).take(pa.array(np.repeat(np.arange(len(n)), n)))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([take("id"), take("root"), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(b"".join(own), np.int64))], names=["id", "root", "n", "key"])
+
+    rows = members.join(sets, "id").select("id", "root", "shingles").mapInArrow(run, "id long, root long, n long, key long")
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("often")), "key")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "key"))
+    first = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    mixed = first.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    return first.join(mixed, "key").select("key", "id", "root")
+
+
 def _tiles(members: DataFrame, blocks) -> DataFrame:
     """Members once for each pair of blocks of their bucket that theirs is in: key, b0, b1 name the tile."""
     cut = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))

@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 
 from casebraid.llm import near_dedup
+from casebraid.llm.common import Scratch
 from casebraid.llm.near_dedup import near_duplicates
 
 SCHEMA = "doc_id long, text string, component_id string"
@@ -70,6 +72,24 @@ def test_chains_copies_and_crowded_buckets(spark, monkeypatch, most, block, weig
     assert result(frame) == brute_force(rows)
 
 
+@pytest.mark.parametrize("most", [16_384, 8])
+def test_pairs_that_share_one_band_only_meet_in_buckets_of_any_size(spark, monkeypatch, most):
+    """Thirty members of one band and else different bands, of which two have similar sets, but are not the hub's."""
+    monkeypatch.setattr(near_dedup, "MOST_TILED", most)
+    rng = random.Random(8)
+    own = {k: sorted(rng.sample(range(1, 1 << 62), 40)) for k in range(30)}
+    own[17] = sorted(own[11][:36] + own[17][:4])
+    array = {k: np.array(v, np.uint64) for k, v in own.items()}
+    bands = {k: [99] + [1000 * k + b for b in range(1, near_dedup.BANDS)] for k in own}
+    rows = [(k, len(v), bytearray((near_dedup.minima(v) >> np.uint32(24)).astype(np.uint8).tobytes()), bands[k]) for k, v in array.items()]
+    signatures = spark.createDataFrame(rows, "id long, n long, signature binary, bands array<long>")
+    sets = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in array.items()], "id long, shingles binary")
+    apart = spark.createDataFrame([(99, k, k) for k in own], "key long, id long, root long")
+    likely = near_dedup._likely(apart, signatures, lambda ids, _: sets.join(ids, "id", "left_semi"), 75, Scratch(spark, "t"))
+    assert {r.id for r in likely.collect()} == {11, 17}
+    assert {(r.u, r.v) for r in near_dedup._joining(likely, sets, 75).collect()} in ({(11, 17)}, {(17, 11)})
+
+
 def test_empty_table_and_missing_ids(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     got = near_duplicates(spark.createDataFrame([(None, "a b c d e f", None), (4, "a b c d e f", None), (4, "a b c d e f", None)], SCHEMA)).toPandas()

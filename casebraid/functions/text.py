@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 from html.entities import name2codepoint
+from unicodedata import combining
+from unicodedata import normalize as normalize_unicode
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+
+def _letters() -> dict[str, str]:
+    """Letters of Latin, Greek and Cyrillic that are another one with marks, and that one."""
+    found = {}
+    for char in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]):
+        plain = "".join(c for c in normalize_unicode("NFKD", char) if not combining(c))
+        if len(plain) == 1 and plain != char:
+            found[char] = plain
+    return found
+
+
+_PLAIN = _letters()
 
 
 def strip_accents(c: Column) -> Column:
-    """STR-01, for the Latin letters above."""
-    return F.translate(c, _ACCENTED, _PLAIN)
+    """STR-01: without marks, whether they are part of a letter (Latin, Greek, Cyrillic) or follow it."""
+    return F.regexp_replace(F.translate(c, "".join(_PLAIN), "".join(_PLAIN.values())), r"[\u0300-\u036F\u0483-\u0487\u1DC0-\u1DFF\u20D0-\u20F0]", "")
 
 
 def collapse(c: Column) -> Column:

@@ -18,6 +18,37 @@ def classified(spark, sf_dir):
     return descriptions(spark, sf_dir).select("source_id", classify.task_code(F.col("descricao")).alias("tipo"))
 
 
+#: A sentence that each code is found by, in the order of the patterns; the last two are for the generic one and for none.
+_SENTENCES = [
+    "Processo público gerado", "Processo atribuído para ana", "Removida atribuição do processo", "Processo remetido pela unidade A/B", "Processo recebido na unidade", "Processo concluído", "Conclusão automática de processo na unidade",
+    "Reabertura do processo na unidade", "Sobrestamento do processo", "Remoção de sobrestamento", "Assinado Documento 1234567", "Autenticado Documento 1234567", "Cancelamento de assinatura", "Cancelada liberação de assinatura externa",
+    "Liberada para ana a assinatura externa", "Ciência no documento 1234567", "Ciência no processo", "Gerado documento público 1234567", "Arquivo plano.pdf anexado", "Processo 1 anexado a outro", "Documento 1234567 movido", "Registro de documento externo 1234567",
+    "Documento 1234567 inserido no bloco 7", "Documento 1234567 retirado do bloco 7", "Processo inserido no bloco 7", "Processo retirado do bloco 7", "Bloco 7 disponibilizado", "Retorno do bloco 7", "Conclusão do bloco 7", "Reabertura do bloco 7",
+    "Cancelada disponibilização do bloco 7", "Anexo plano.pdf removido do documento", "Cancelamento do documento 1234567", "Exclusão do documento 1234567", "Alterado o nível de acesso do documento", "Alteração do nível de acesso geral", "Alterado o tipo do processo",
+    "Alterada a hipótese legal", "Alteração do tipo de conferência", "Alterada a ordem da árvore", "Atualização de andamento", "Disponibilizado acesso externo", "Cancelada a disponibilização de acesso externo", "ENVIADO E-MAIL", "O Usuário Externo ana fez Peticionamento", "Credencial concedida a ana",
+    "@DESCRICAO@", "Algo diferente",
+]
+_CODES = [code for code, _, _ in classify.PATTERNS] + [classify.GENERIC[0], "OUTROS"]
+
+
+@query("cls_01_all_codes", f"SELECT event_id, [{', '.join(repr(c) for c in _CODES)}][CAST(event_id % {len(_CODES)} AS INTEGER) + 1] AS tipo FROM events")
+def all_codes(spark, sf_dir):
+    """CLS-01: each of the codes, with its own sentence."""
+    sentence = F.array(*map(F.lit, _SENTENCES))[(F.col("event_id") % len(_SENTENCES)).cast("int")]
+    return table(spark, sf_dir, "events").select("event_id", classify.task_code(sentence).alias("tipo"))
+
+
+@query("cls_04_titles", """SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN CAST(event_id + 1000000 AS VARCHAR) END AS numero, CASE event_id % 5 WHEN 0 THEN 'Ofício' WHEN 1 THEN 'Nota Técnica' WHEN 3 THEN 'Despacho' END AS tipo,
+    CASE event_id % 5 WHEN 0 THEN CAST(event_id % 90 AS VARCHAR) WHEN 2 THEN '7' END AS serie_id FROM events""")
+def titles(spark, sf_dir):
+    """CLS-04: numbers with a kind, a series, both, or neither a number long enough."""
+    n = F.col("event_id")
+    number, form = (n + 1_000_000).cast("string"), n % 5
+    title = F.when(form == 0, F.concat(number, F.lit(" (Ofício "), (n % 90).cast("string"), F.lit(")"))).when(form == 1, F.concat(number, F.lit("(Nota Técnica)"))).when(form == 2, F.concat(number, F.lit(" ( 7)"))).when(form == 3, F.concat(F.lit("Assinado Documento "), number, F.lit(" (Despacho) por ana"))).otherwise(F.lit("123456 (Ofício 1)"))
+    found = classify.document(title)
+    return table(spark, sf_dir, "events").select("event_id", found["numero"].alias("numero"), found["tipo"].alias("tipo"), found["serie_id"].alias("serie_id"))
+
+
 @query("cls_02_group_effort", f"WITH {DESCRIPTIONS}, c AS (SELECT {_CODE} AS tipo FROM descricoes) SELECT CASE WHEN tipo = 'GERACAO-PROCEDIMENTO' THEN 'abertura' WHEN tipo = 'ASSINATURA-DOCUMENTO' THEN 'assinatura' WHEN tipo = 'OUTROS' THEN 'outros' ELSE 'tramitacao' END AS grupo, count(*) AS n, sum(CASE WHEN tipo IN ('PROCESSO-REMETIDO-UNIDADE', 'PROCESSO-RECEBIDO-UNIDADE', 'CONCLUSAO-PROCESSO-UNIDADE') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS horas FROM c GROUP BY ALL")
 def effort(spark, sf_dir):
     """CLS-02, APP-09: the dimension has 48 rows, so it is broadcast."""

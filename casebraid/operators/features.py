@@ -38,18 +38,20 @@ def case_features(documents: DataFrame, activities: DataFrame, units: int = UNIT
     highest counts, in alphabetical order, in lower case; a unit is one term. Inverse frequencies are over all cases, those
     without a unit included. A case with no feature at all has no row. Null or empty units are left out; so are null cases.
     """
-    documents, acts = documents.where("case is not null"), activities.where("case is not null")
+    working = Working(documents.sparkSession, "features")
+    documents = documents.where("case is not null")
+    acts = working.save(activities.where("case is not null").select("case", "ord", "unidade", "tipo"), "activities")
     semantic = case_vectors(documents)
     width = documents.agg(F.max(F.greatest(F.size("embedding"), F.lit(0)))).first()[0] or 0
     names = acts.where("unidade is not null and unidade <> ''").select("case", "ord", "unidade")
     cases = documents.select("case").unionByName(acts.select("case")).distinct().count()
-    visited = tfidf(names.select(F.col("case").alias("doc"), F.lower("unidade").alias("term")).distinct(), binary=True, most_terms=units, of=cases)
+    visited = working.save(tfidf(names.select(F.col("case").alias("doc"), F.lower("unidade").alias("term")).distinct(), binary=True, most_terms=units, of=cases), "visited")
     steps = names.withColumn("before", F.lag("unidade").over(Window.partitionBy("case").orderBy("ord"))).where("before <> unidade")
-    followed = tfidf(steps.select(F.col("case").alias("doc"), F.lower(F.concat("before", F.lit("__"), "unidade")).alias("term")), most_terms=pairs, of=cases)
+    followed = working.save(tfidf(steps.select(F.col("case").alias("doc"), F.lower(F.concat("before", F.lit("__"), "unidade")).alias("term")), most_terms=pairs, of=cases), "followed")
 
     def placed(weights: DataFrame, first: int) -> tuple[DataFrame, DataFrame, int]:
         # at most `units` or `pairs` terms, so one window holds them
-        terms = weights.select("term").distinct().withColumn("i", F.row_number().over(Window.orderBy("term")) - 1 + first)
+        terms = working.save(weights.select("term").distinct().withColumn("i", F.row_number().over(Window.orderBy("term")) - 1 + first), f"terms{first}")
         return weights.join(terms, "term").select(F.col("doc").alias("case"), "i", F.col("weight").alias("x")), terms, terms.count()
 
     first, first_columns, n = placed(visited, width)

@@ -64,3 +64,15 @@ def test_edges(spark):
     assert [got[k].lang_pred for k in (1, 2)] == ["en", "fr"]
     assert language.predict(docs.limit(0), language.fit(docs.limit(0), ~apart)).count() == 0
     assert {r.lang_pred for r in language.predict(docs, language.fit(docs.limit(0), ~apart)).collect()} == {"und"}
+
+
+def test_labels_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 400")
+    apart = language.held_out(F.col("doc_id"), 4, 2)
+    rows = docs.select("doc_id", "text", "lang", apart.alias("apart")).collect()
+    models = {lang: plain_kneser_ney([r.text.lower() for r in rows if not r.apart and r.lang == lang], language.ORDER) for lang in {r.lang for r in rows if not r.apart}}
+    chosen, n = {r.doc_id: r.lang_pred for r in language.predict(docs, language.fit(docs, ~apart)).collect()}, language.ORDER
+    for r in [r for r in rows if r.apart][:12]:
+        text = "\n" * (n - 1) + r.text.lower()
+        entropy = {lang: -sum(np.log(p(text[i : i + n])) for i in range(len(r.text))) / len(r.text) for lang, p in models.items()}
+        assert chosen[r.doc_id] == min(entropy, key=entropy.get)

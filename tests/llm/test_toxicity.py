@@ -1,3 +1,8 @@
+import math
+import re
+from collections import Counter
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -102,3 +107,64 @@ def test_keep_clean_keeps_nulls_and_columns(spark):
     rows = spark.createDataFrame([(1, None, "a", 1.0), (2, "", "b", 2.0), (None, "banlan", None, None), (4, "scumbag vilest scumbag foulmouth", "c", 3.0)], docs.schema)
     assert sorted(map(tuple, toxicity.keep_clean(rows, model).collect()), key=str) == sorted([(1, None, "a", 1.0), (2, "", "b", 2.0), (None, "banlan", None, None)], key=str)
     assert toxicity.keep_clean(rows.limit(0), model).count() == 0
+
+
+def plain_scores(texts, toxic, wanted):
+    """Model and scores by the docstring of the module, over dictionaries of words; toxic of each text, None outside the sample."""
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    units = lambda w: [w, *(w[:n] + "*" for n in toxicity.BEGINNINGS)]
+    docs = [(split(t), y) for t, y in zip(texts, toxic, strict=True) if y is not None]
+    counts = [Counter(u for words, y in docs if y == label for u in {u for w in words for u in units(w)}) for label in (1, 0)]
+    kept = [u for u in {*counts[0], *counts[1]} if counts[0][u] >= 3 or counts[1][u] >= 20]
+    n = [sum(c[u] for u in kept) for c in counts]
+    weight, limit = toxicity.PRIOR * len(kept), NormalDist().inv_cdf(1 - toxicity.BY_CHANCE / max(len(kept), 20))
+    odds, strength = {}, {}
+    for u in kept:
+        own = [c[u] for c in counts]
+        x = [math.log((k + toxicity.PRIOR) / (total + weight - k - toxicity.PRIOR)) for k, total in zip(own, n, strict=True)]
+        ratio = sum(k * math.log(k / (sum(own) * total / sum(n))) for k, total in zip(own, n, strict=True) if k)
+        z = math.sqrt(2 * max(ratio, 0))
+        if z >= limit:
+            odds[u], strength[u] = max(x[0] - x[1], -2.0), z
+
+    def scores(words):
+        best = [max((u for u in units(w) if u in odds), key=strength.get, default=None) for w in words]
+        return [-toxicity.PENALTY if u is None else odds[u] for u in best]
+
+    clean = [scores(words) for words, y in docs if y == 0]
+    bins = Counter(min(int((min(max(s, -2.0), 12.0) + 2) / 0.25), 55) for own in clean for s in own)
+    law = [(-2 + 0.25 * k + 0.125, c / sum(bins.values())) for k, c in bins.items()]
+    scale, log_k = 1.0, 0.0
+    if any(s > 0 for s, _ in law) and sum(s * p for s, p in law) < 0:
+        low, high = 1e-6, 20.0
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(p * math.exp(min(middle * s, 700)) for s, p in law) < 1 else (low, middle)
+        scale = max(low, 0.05)
+    passages = lambda own: [s for _, _, s in toxicity.maximal_segments(np.array(own))] if own else []
+    best = [(max(passages(own), default=0.0), len(own)) for own in clean]
+    found = sorted(scale * b - math.log(k) for b, k in best if b > 0)
+    if len(found) >= 20:
+        log_k = float(np.median(found)) + math.log(math.log(2))
+
+    def features(words):
+        normal = [scale * s - log_k - math.log(len(words)) for s in passages(scores(words))]
+        first = max(normal) if normal else -log_k - math.log(len(words)) if words else -10.0
+        return [1.0, min(max(first, -20), 40), math.log1p(sum(max(x, 0) for x in normal)), math.log1p(sum(x > 3 for x in normal))]
+
+    x, y, w = np.array([features(words) for words, _ in docs]), np.array([y for _, y in docs], float), np.zeros(4)
+    ridge = np.diag([1e-6, 1e-2, 1e-2, 1e-2])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w + np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, x.T @ (y - p) - ridge @ w)
+    return [1 / (1 + math.exp(-float(np.clip(np.array(features(split(t))) @ w, -30, 30)))) for t in wanted]
+
+
+def test_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    learn = ~held_out(F.col("doc_id"), 3, 1)
+    rows = docs.join(labels.where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", "left").select("doc_id", "text", "toxic").collect()
+    want = dict(zip((r.doc_id for r in rows), plain_scores([r.text for r in rows], [r.toxic for r in rows], [r.text for r in rows]), strict=True))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels, learn)).collect()}
+    assert got.keys() == want.keys() and max(want.values()) > 0.9 and min(want.values()) < 0.1
+    assert np.allclose([got[k] for k in want], list(want.values()), atol=1e-4)

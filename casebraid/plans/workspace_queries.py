@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formats
-from ..operators import workspace
+from ..operators import outputs, workspace
 from ..sources.tables import ACTIVITIES, activities, table
+from .entity_queries import FOUND, found_entities
 from .registry import query
 
 _TABLES = """tags AS (SELECT s_suppkey AS tag_id, CASE WHEN s_suppkey % 13 <> 0 THEN s_suppkey % 20 END AS equipe_id, s_name AS nome, s_suppkey AS criado_em, s_suppkey % 11 <> 0 AS vivo FROM supplier),
@@ -151,3 +152,80 @@ def coerced(spark, sf_dir):
     first = formats.first_filled(F.lit(" "), F.when(n % 3 == 0, F.col("event_type")), default)
     roles = formats.parsed(F.when(n % 2 == 0, F.concat(F.lit('reply: {"m": ["'), F.when(n % 5 == 0, "x").otherwise("notas"), F.lit('"]} end'))).otherwise("none"), "m array<string>", F.struct(F.array(F.lit("nenhum")).alias("m")))
     return e.select("event_id", read["canonical"].alias("nome"), read["provenance"].alias("fonte"), first.alias("primeiro"), formats.may_use(roles["m"], "notas").alias("pode"))
+
+
+def _parsed(spark, sf_dir):
+    p, n = table(spark, sf_dir, "pages"), F.col("page_id")
+    file = F.concat(F.lit("f."), F.when(n % 3 == 0, "HTML").when(n % 3 == 1, "pdf").otherwise("txt"))
+    words = F.when(n % 7 == 0, " ab ").when(n % 7 == 1, None).otherwise(F.col("url"))
+    return p.select(n.alias("numero"), (n % 10).alias("protocolo"), file.alias("arquivo"), F.lit("html-strip").alias("metodo"), words.alias("texto"), F.when(n % 11 == 0, "boom").alias("erro"))
+
+
+_OUTCOMES = """o AS (SELECT page_id AS numero, page_id % 10 AS protocolo, CASE page_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '.pdf' ELSE '.txt' END AS extensao, url,
+    CASE WHEN page_id % 13 = 0 THEN 'skipped' WHEN page_id % 11 = 0 THEN 'failed' WHEN page_id % 7 < 2 OR length(trim(url)) < 5 THEN 'empty' ELSE 'ok' END AS status FROM pages)"""
+
+
+@query("snk_12_outputs", f"WITH {_OUTCOMES} SELECT numero, protocolo, extensao, CAST(CASE WHEN status = 'ok' THEN length(url) END AS INTEGER) AS tamanho, status FROM o")
+def document_outputs(spark, sf_dir):
+    """SNK-12, NER-14: tests write them."""
+    rows = _parsed(spark, sf_dir)
+    return outputs.outcomes(rows, rows.where("numero % 13 = 0")).select("numero", "protocolo", "extensao", "tamanho", "status")
+
+
+@query("agg_45_status", f"WITH {_OUTCOMES} SELECT status, count(*) AS n, CAST(sum(CASE WHEN status = 'ok' THEN length(url) END) AS BIGINT) AS caracteres FROM o GROUP BY status")
+def status_counts(spark, sf_dir):
+    rows = _parsed(spark, sf_dir)
+    return outputs.status_counts(outputs.outcomes(rows, rows.where("numero % 13 = 0")))
+
+
+@query("src_22_unprocessed", "SELECT url AS nome, page_id FROM pages p WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def unprocessed(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.col("url").alias("nome"), "page_id")
+    return outputs.unprocessed(p, p.where("page_id % 3 = 0"))
+
+
+@query("app_12_normalised", """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN CAST(event_id AS VARCHAR) ELSE lpad(CAST(event_id AS VARCHAR), 17, '7') END AS numero_processo,
+    CASE WHEN event_id % 5 = 0 THEN 'kept' WHEN event_id % 4 <> 3 THEN regexp_replace(lpad(CAST(event_id AS VARCHAR), 17, '7'), '^(\\d{5})(\\d{6})(\\d{4})(\\d{2})$', '\\1.\\2/\\3-\\4') END AS numero_processo_formatado FROM events""")
+def normalised(spark, sf_dir):
+    """APP-12, STR-04, STR-05."""
+    n = F.col("event_id")
+    long = F.lpad(n.cast("string"), 17, "7")
+    dotted = F.when(n % 4 == 3, F.concat(F.lit("n. "), n.cast("string"))).when(n % 4 == 2, long).otherwise(F.concat(F.substring(long, 1, 5), F.lit("."), F.substring(long, 6, 6), F.lit("/"), F.substring(long, 12, 4), F.lit("-"), F.substring(long, 16, 2)))
+    rows = table(spark, sf_dir, "events").select("event_id", dotted.alias("numero_processo"), F.when(n % 5 == 0, "kept").alias("numero_processo_formatado"))
+    return outputs.normalised_numbers(rows)
+
+
+@query("app_13_grants", """WITH a AS (SELECT o_custkey % 300 AS usuario, o_orderpriority AS papel, o_orderkey AS em, o_orderkey % 4 = 0 AS g FROM orders), n AS (SELECT usuario, papel, em FROM (SELECT *, row_number() OVER (PARTITION BY usuario ORDER BY em DESC, papel DESC) AS r FROM a WHERE g) WHERE r = 1)
+    SELECT usuario, papel, em FROM a WHERE NOT g AND usuario NOT IN (SELECT usuario FROM n) UNION ALL SELECT * FROM n""")
+def grants(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 300).alias("usuario"), F.col("o_orderpriority").alias("papel"), F.col("o_orderkey").alias("em"))
+    return outputs.granted(rows.where("em % 4 <> 0"), rows.where("em % 4 = 0"))
+
+
+@query("ner_08_modes", f"""WITH {FOUND}, a AS (SELECT doc_id, label, lower(trim(text)) AS k, min(text) AS own FROM raw WHERE place % 3 <> 0 GROUP BY ALL), b AS (SELECT doc_id, label, lower(trim(text)) AS k, min(upper(text)) AS said FROM raw WHERE place % 2 = 0 GROUP BY ALL)
+    SELECT doc_id, label, coalesce(own, said) AS text, CASE WHEN own IS NOT NULL THEN 'hybrid' ELSE 'llm' END AS provenance FROM b LEFT JOIN a USING (doc_id, label, k)""")
+def modes(spark, sf_dir):
+    """NER-08 in hybrid mode."""
+    rows = found_entities(spark, sf_dir)
+    model = rows.where("place % 2 = 0").select("doc_id", "label", F.upper("text").alias("text"), F.lit(None).cast("string").alias("canonical"))
+    return outputs.merged_modes(rows.where("place % 3 <> 0"), model, "hybrid").drop("canonical")
+
+
+@query("arr_09_timelines", f"WITH {ACTIVITIES} SELECT processo, string_agg(source_id || ':' || tipo, ',' ORDER BY t, source_id) AS atividades FROM atividades GROUP BY processo")
+def nested_timelines(spark, sf_dir):
+    step = lambda a: F.concat(a["source_id"].cast("string"), F.lit(":"), a["tipo"])
+    return outputs.timelines(activities(spark, sf_dir)).select("processo", F.array_join(F.transform("atividades", step), ",").alias("atividades"))
+
+
+@query("flt_11_null_safe", f"WITH {ACTIVITIES} SELECT processo, coalesce(string_agg(ref_id, ',' ORDER BY ref_id) FILTER (ref_id IS NOT NULL AND ref_id <> 'doc:7'), '') AS docs FROM (SELECT DISTINCT processo, ref_id FROM atividades) GROUP BY processo")
+def null_safe(spark, sf_dir):
+    """FLT-11: lists without nulls and unwanted items."""
+    every = F.array_sort(F.collect_set(F.coalesce("ref_id", F.lit("doc:7"))))
+    return activities(spark, sf_dir).groupBy("processo").agg(every.alias("x")).select("processo", F.array_join(F.filter("x", lambda d: d.isNotNull() & (d != "doc:7")), ",").alias("docs"))
+
+
+@query("flt_14_listed", "SELECT o_orderkey FROM orders WHERE (o_custkey, o_orderstatus) IN (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END FROM customer WHERE c_nationkey = 3)")
+def listed(spark, sf_dir):
+    """FLT-14: membership in a list of pairs that grows with the tables: a semi-join."""
+    pairs = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("O").alias("o_orderstatus"))
+    return table(spark, sf_dir, "orders").join(pairs, ["o_custkey", "o_orderstatus"], "left_semi").select("o_orderkey")

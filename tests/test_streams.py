@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from casebraid.operators import state, timeline
+from casebraid.operators import outputs, state, timeline
 from casebraid.plans.registry import Stage, Stages
 from casebraid.plans.runs import RunLog, files_of, run
 from casebraid.sources.snapshots import Conflict, Snapshots
@@ -65,6 +65,21 @@ def test_of_two_writers_one_is_refused(spark, tmp_path):
     assert len(list((tmp_path / "data").iterdir())) == 1
 
 
+def test_refresh_wipe_and_outputs(spark, tmp_path):
+    table = Snapshots(spark, str(tmp_path / "t"))
+    outputs.refresh(table, spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string"), "k")
+    outputs.refresh(table, spark.createDataFrame([(3, "d")], "k int, v string"), "k")
+    assert [(r.k, r.v) for r in table.read().collect()] == [(3, "d")] and sorted((r.k, r.v) for r in table.read(1).collect()) == [(1, "b"), (2, "c")]
+    assert outputs.wipe(table) == 3 and table.read() is None and table.read(2).count() == 1
+    schema = "numero int, protocolo int, arquivo string, metodo string, texto string, erro string"
+    rows = spark.createDataFrame([(1, 9, "a.HTML", "m", "long enough", None), (2, 9, "b", "m", " abc ", None), (3, 9, "c.txt", "m", None, None), (4, 9, "d.pdf", "m", "long enough", "boom"), (5, 9, "e.txt", "m", "done before", None)], schema)
+    found = outputs.outcomes(rows, rows.where("numero = 5"))
+    assert {r.numero: (r.status, r.extensao, r.tamanho) for r in found.collect()} == {1: ("ok", ".html", 11), 2: ("empty", "", None), 3: ("empty", ".txt", None), 4: ("failed", ".pdf", None), 5: ("skipped", ".txt", None)}
+    outputs.write_outputs(found, str(tmp_path / "out"))
+    assert [r.texto for r in spark.read.parquet(str(tmp_path / "out/textos")).collect()] == ["long enough"]
+    assert [(r.numero, r.extensao) for r in spark.read.json(str(tmp_path / "out/metadados")).collect()] == [(1, ".html")]
+
+
 def test_canvas_is_replaced_whole(spark, tmp_path):
     node, edge = "node_id string, nome string, x double", "edge_id string, source_node_id string, target_node_id string"
     nodes = spark.createDataFrame([("a", "A", 1.0), ("b", None, 2.0)], node)

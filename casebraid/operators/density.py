@@ -11,7 +11,7 @@ All groups go through the same steps at once; nothing is done group by group, an
    node's lightest outgoing edge belongs to that node's chain of the merge tree; one that is not rises to the next level.
    Sorted by weight the chains are the whole merge tree, and cluster sizes are running sums along them.
 4. Edges with two large sides cut the chains into the clusters of the condensed tree. Stabilities are sums over edges;
-   the choice of the clusters with most excess of mass is made in rounds over the (few) clusters.
+   the choice of the clusters with most excess of mass takes rounds in the logarithm of their number.
 """
 
 from __future__ import annotations

@@ -134,7 +134,7 @@ def test_many_clusters_in_many_levels(spark):
     own = np.random.default_rng(11)
     x = np.concatenate([own.normal(0, 1, (6, 2)) + np.array([math.cos(k), math.sin(k)]) * (3.0**(k % 7)) * 4 for k in range(70)])
     points = [(k, v.tolist()) for k, v in enumerate(x)]
-    found = run(spark, {1: points}, 3, block=64)
+    found = run(spark, {1: points}, 3, block=150)
     same(found[1], textbook(points, 3))
 
 
@@ -156,7 +156,7 @@ def test_odd_vectors_few_points_and_no_rows(spark):
 
 
 def test_second_level_takes_up_left_out_points(spark):
-    points = blobs(21, 3, 40, 3, spread=0.6) + [(1000 + k, [60.0 + 0.1 * k, 60.0 - 0.2 * (k % 3), 0.0]) for k in range(7)]
+    points = blobs(21, 3, 40, 3, spread=0.6) + [(1000 + k, [60.0 + 30 * (k % 2) + 0.1 * k, 60.0 - 0.2 * (k % 3), 0.0]) for k in range(16)]
     found = {r.id: r for r in two_levels(spark.createDataFrame([(0, i, v, "") for i, v in points], SCHEMA), 20, 5).collect()}
     once = textbook(points, 20)
     same({k: (r.macro_label, r.macro_strength) for k, r in found.items()}, once)

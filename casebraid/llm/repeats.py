@@ -15,9 +15,9 @@ Starts with a match of LENGTH bytes or more are repeats.
 An anchor hash may have any number of distinct snippets (a passage that a third of all documents cite
 has its borders in each of them). Up to GROUP snippets go into one index, less those that share too few
 bytes with any other. Beyond, the starts of a snippet are dealt in ranges, by 128-bit hashes of the bytes
-that all strings of a range have in common: a range whose snippets agree on all its bytes is marked whole,
-one that stands alone holds no repeat, and the rest is cut into finer ranges, down to single starts. That
-counts by key, combined before the shuffle, so no task ever holds an unbounded group.
+that all strings of a range have in common: a range that another snippet has with all its bytes is marked
+whole, one that stands alone holds no repeat, and of several kinds one range each is cut into finer ones, down
+to single starts. That counts by key, combined before the shuffle, so no task ever holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ LENGTH, K = 400, 32
 #: The most distinct snippets of an anchor hash that one index takes, and about how many bytes an index holds.
 GROUP, INDEX_BYTES = 512, 1 << 20
 #: The widths of ranges of starts, from coarse to single ones; and of those by which an index passes over snippets.
-WIDTHS, INDEX_WIDTH = (128, 16, 1), 32
+WIDTHS, INDEX_WIDTH = (128, 32, 8, 2, 1), 32
 _PIECE, _PLACE_BITS = 8 << 20, 24
 _RNG = np.random.default_rng(40_961)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -301,10 +301,12 @@ def _by_ranges(snippets: DataFrame, scratch: Scratch) -> DataFrame:
     marked = []
     for width in WIDTHS:
         parts = scratch.save(now.select("c1", "c2", "place", "least", "most", "snippet").mapInArrow(_part_rows(width), PARTS), f"parts{width}")
-        met = parts.groupBy("w1", "w2").agg(F.count("*").alias("n_w"), F.min("whole").alias("w_a"), F.max("whole").alias("w_b")).where("n_w > 1")
-        both = scratch.save(parts.join(met, ["w1", "w2"]).select("c1", "c2", "least", "most", (F.col("w_a") == F.col("w_b")).alias("agree")), f"met{width}")
-        marked.append(both.where("agree").select("c1", "c2", "least", "most"))
-        now = snippets.join(both.where("not agree").select("c1", "c2", "least", "most"), ["c1", "c2"])
+        # of equal ranges one goes on, as others may share some of its strings
+        one = F.min(F.struct("c1", "c2", "least", "most")).alias("one")
+        kinds = scratch.save(parts.groupBy("w1", "w2", "whole").agg(F.count("*").alias("n"), one), f"kinds{width}")
+        marked.append(parts.join(kinds.where("n > 1").select("w1", "w2", "whole"), ["w1", "w2", "whole"], "left_semi").select("c1", "c2", "least", "most"))
+        several = kinds.groupBy("w1", "w2").agg(F.count("*").alias("n_w")).where("n_w > 1").select("w1", "w2")
+        now = snippets.join(kinds.join(several, ["w1", "w2"], "left_semi").select("one.*"), ["c1", "c2"])
     found = marked[0]
     for more in marked[1:]:
         found = found.unionByName(more)

@@ -361,11 +361,12 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     texts = texts.withColumns({"rid": F.xxhash64("text", "doc_id"), "did": F.coalesce("doc_id", F.xxhash64(F.lit(3), "text"))})
     row = ["rid", "did"]
     every = scratch.save(texts.where(F.octet_length("text") >= LENGTH).select(*row, "text").mapInArrow(_anchor_rows, ANCHORS), "anchors")
-    twice = every.groupBy("h").agg(F.count("*").alias("n_h")).where("n_h > 1").select("h")
+    # as a table, so that the join by it is no part of the grouping and a frequent hash is split
+    twice = scratch.save(every.groupBy("h").agg(F.count("*").alias("n_h")).where("n_h > 1").select("h"), "twice")
     some = scratch.save(every.join(twice, "h", "left_semi"), "repeated")
     scratch.drop("anchors")
     kinds = scratch.save(some.groupBy("c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("h", *row, "lo", "hi", "place"))), "kinds")
-    sizes = kinds.groupBy("h").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1")
+    sizes = scratch.save(kinds.groupBy("h").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1"), "sizes")
     wanted = kinds.join(sizes, "h").select(*row, "h", "c1", "c2", "lo", "hi", "place")
     cuts = wanted.groupBy(*row).agg(F.collect_list(F.struct("h", "c1", "c2", "lo", "hi", "place")).alias("cuts"))
     once = texts.join(cuts, row).select("text", "cuts")

@@ -126,7 +126,8 @@ def intra_pairs(spark, sf_dir):
 
 @query("agg_38_tier_histogram", f"SELECT tier, count(*) AS n FROM (SELECT CASE WHEN s >= 0.9 THEN 'very_high' WHEN s >= 0.8 THEN 'high' WHEN s >= 0.4 THEN 'medium' ELSE 'low' END AS tier FROM (SELECT {_COS} AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)) GROUP BY ALL")
 def tiers(spark, sf_dir):
-    return similarity.within(table(spark, sf_dir, "embeddings")).groupBy(classify.similarity_tier(F.col("score")).alias("tier")).agg(F.count("*").alias("n"))
+    counts = similarity.within_counts(table(spark, sf_dir, "embeddings"), classify.TIERS)
+    return counts.groupBy(classify.similarity_tier(F.col("floor")).alias("tier")).agg(F.sum("n").alias("n"))
 
 
 @query("clu_03_topk", f"SELECT q, v, r, round(s, 6) AS score FROM (SELECT q, v, s, CAST(row_number() OVER (PARTITION BY q ORDER BY s DESC, v) AS INTEGER) AS r FROM (SELECT a.vec_id AS q, b.vec_id AS v, {_COS} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)) WHERE r <= 20")

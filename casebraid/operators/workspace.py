@@ -69,13 +69,28 @@ def save_cards(saved: DataFrame, wanted: DataFrame, tags: DataFrame) -> DataFram
 def received(shares: DataFrame, members: DataFrame, tags: DataFrame, saved: DataFrame) -> DataFrame:
     """APP-05: usuario, share_id, tag_id, nome, equipe_destino_id, processos: what is shared with each user, directly or
     through a living membership (equipe_id, usuario); each share once a user. Shares of tags that are gone are left out.
+
+    All joins and the shuffles happen on shares; their users, who are many more rows, come last and go nowhere. Only
+    shares that repeat a share_id need their users compared.
     """
-    open_ = alive(shares).select("share_id", "tag_id", "usuario_destino", "equipe_destino_id")
-    direct = open_.where("usuario_destino is not null").select(F.col("usuario_destino").alias("usuario"), "share_id")
-    team = open_.where("equipe_destino_id is not null").join(alive(members).select(F.col("equipe_id").alias("equipe_destino_id"), "usuario"), "equipe_destino_id").select("usuario", "share_id")
+    times = F.count("*").over(Window.partitionBy("share_id"))
+    open_ = alive(shares).select("share_id", "tag_id", "usuario_destino", "equipe_destino_id").withColumn("times", times)
+    people = alive(members).select(F.col("equipe_id").alias("equipe_destino_id"), "usuario").distinct()
     counted = alive(saved).groupBy("tag_id").agg(F.count("*").alias("processos"))
-    told = direct.unionByName(team).distinct().join(open_, "share_id").join(alive(tags).select("tag_id", "nome"), "tag_id")
-    return told.join(counted, "tag_id", "left").select("usuario", "share_id", "tag_id", "nome", "equipe_destino_id", F.coalesce("processos", F.lit(0)).alias("processos"))
+    told = open_.join(alive(tags).select("tag_id", "nome"), "tag_id").join(counted, "tag_id", "left")
+    told = told.select("share_id", "tag_id", "nome", "usuario_destino", "equipe_destino_id", F.coalesce("processos", F.lit(0)).alias("processos"), "times")
+
+    def users(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return rows.where("usuario_destino is not null").withColumn("usuario", F.col("usuario_destino")), rows.join(people, "equipe_destino_id")
+
+    columns = ["usuario", "share_id", "tag_id", "nome", "equipe_destino_id", "processos"]
+    direct, team = users(told.where("times = 1"))
+    # who has a share directly does not get it again from the team
+    team = team.where(F.coalesce(F.col("usuario") != F.col("usuario_destino"), F.lit(True)))
+    again = open_.where("times > 1")
+    both = [x.select("usuario", "share_id") for x in users(again)]
+    repeated = both[0].unionByName(both[1]).distinct().join(told.where("times > 1"), "share_id")
+    return direct.select(columns).unionByName(team.select(columns)).unionByName(repeated.select(columns))
 
 
 def first_success(candidates: DataFrame) -> DataFrame:

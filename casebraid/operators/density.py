@@ -4,9 +4,10 @@ All groups go through the same steps at once; nothing is done group by group, an
 
 1. Points are dealt to blocks of about `block` points near one pivot. Blocks meet in pairs, but only where their centres
    and radii leave a chance: first for the distance to the k-th neighbour (core distance), then for tree edges. A task
-   holds one block while others stream past it.
-2. A pair of blocks gives the edges between them of its own minimum spanning tree of mutual reachability. By the cycle
-   property the tree of the whole group is among these edges and those within blocks.
+   holds a team of blocks while others stream past it, so that a block travels once to a team and not once to a block.
+2. A pair of blocks gives the edges between them of its own minimum spanning tree of mutual reachability, and a team the
+   minimum spanning forest of those edges. By the cycle property the tree of the whole group is among these edges and
+   those within blocks.
 3. Boruvka rounds over the edges contract the tree level by level. An edge that is contracted into a node below the
    node's lightest outgoing edge belongs to that node's chain of the merge tree; one that is not rises to the next level.
    Sorted by weight the chains are the whole merge tree, and cluster sizes are running sums along them.
@@ -30,6 +31,11 @@ NOISE = -1
 BLOCK = 1024
 #: Pivots of all groups together, about; twice as many are never exceeded, which bounds what is broadcast.
 PIVOTS = 4096
+#: Teams of blocks, about, and the most blocks of a team: till there what travels grows as the points do.
+TEAMS = 32
+TEAM = 64
+#: Edges that a task holds before it keeps their forest alone.
+HELD = 1 << 20
 #: Smaller distances count as this one, so that repeated points have a finite density.
 LEAST_DISTANCE = 1e-12
 #: Edges of a chain that are summed in one window.
@@ -100,6 +106,34 @@ def _tree(nodes: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def _forest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimum spanning forest of edges in the order of w, u, v, by rounds of Boruvka."""
+    order = np.lexsort((v, u, w))
+    u, v, w = u[order], v[order], w[order]
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    of, keep, left = np.arange(len(nodes)), np.zeros(len(u), bool), np.arange(len(u))
+    while True:
+        x, y = of[a[left]], of[b[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return u[keep], v[keep], w[keep]
+        least = np.full(len(nodes), len(u))
+        np.minimum.at(least, x, left)
+        np.minimum.at(least, y, left)
+        roots_ = np.flatnonzero(least < len(u))
+        edge = least[roots_]
+        keep[edge] = True
+        to = np.arange(len(nodes))
+        to[roots_] = of[a[edge]] + of[b[edge]] - roots_
+        mutual = (to[to] == np.arange(len(nodes))) & (np.arange(len(nodes)) < to)
+        to[mutual] = np.flatnonzero(mutual)
+        while (to[to] != to).any():
+            to = to[to]
+        of = to[of]
+
+
 def _rows(batches):
     for batch in batches:
         for k in range(batch.num_rows):
@@ -168,36 +202,46 @@ def _gaps(blocks: DataFrame, working: Working) -> DataFrame:
     return working.save(both.select("grp", "a", "b", "kth", F.greatest(F.lit(0.0), apart - reach - 1e-9 * (apart + reach)).alias("least"), (apart + reach).alias("most")), "gaps")
 
 
-def _streamed(hosts: DataFrame, guests: DataFrame, run, schema: str) -> DataFrame:
-    """run over rows sorted by host: a host's own row (guest null) comes first, then its guests."""
-    rows = hosts.unionByName(guests, allowMissingColumns=True).repartition("host")
-    return rows.sortWithinPartitions("host", F.asc_nulls_first("guest")).mapInArrow(run, schema)
+def _streamed(blocks: DataFrame, pairs: DataFrame, columns: list[str], own: list[str], run, schema: str) -> DataFrame:
+    """run over rows sorted by team: the team's own blocks b (hosts null) come first, with columns and own, then other
+    blocks with columns and the hosts of the team that they meet. pairs: host, guest.
+    """
+    size = max(1, min(TEAM, -(-blocks.count() // TEAMS)))
+    team = lambda c: F.floor(F.col(c) / size).alias("team")
+    hosts = blocks.select(team("b"), F.lit(None).cast("array<long>").alias("hosts"), "b", *columns, *own)
+    met = pairs.groupBy(team("host"), F.col("guest").alias("b")).agg(F.array_sort(F.collect_list("host")).alias("hosts"))
+    guests = met.join(blocks.select("b", *columns), "b")
+    rows = hosts.unionByName(guests, allowMissingColumns=True).withColumn("later", F.col("hosts").isNotNull()).repartition("team")
+    return rows.sortWithinPartitions("team", "later").mapInArrow(run, schema)
 
 
 def _with_cores(blocks: DataFrame, gaps: DataFrame, width: int, working: Working) -> DataFrame:
     """Blocks with core: each point's distance to its k-th neighbour in the whole group."""
 
-    def run(batches):
-        host = x = near = None
-
-        def told():
-            yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([np.ascontiguousarray(near[:, -1]).tobytes()], pa.binary()), pa.array([float(near[:, -1].max())])], names=["b", "core", "most_core"])
+    def told(held):
+        for b, (_, near) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([np.ascontiguousarray(near[:, -1]).tobytes()], pa.binary()), pa.array([float(near[:, -1].max())])], names=["b", "core", "most_core"])
 
+    def run(batches):
+        team, held = None, {}
         for row in _rows(batches):
-            if row["guest"] is None:
-                if host is not None:
-                    yield from told()
-                host, x = row["host"], _matrix(row["data"], width)
-                near = np.frombuffer(row["near"], np.float64).reshape(len(x), row["k"])
+            if row["hosts"] is None:
+                if row["team"] != team:
+                    yield from told(held)
+                    team, held = row["team"], {}
+                x = _matrix(row["data"], width)
+                held[row["b"]] = x, np.frombuffer(row["near"], np.float64).reshape(len(x), row["k"])
             else:
-                near = np.sort(np.concatenate([near, _nearest(x, _matrix(row["data"], width), near.shape[1], False)], axis=1), axis=1)[:, : near.shape[1]]
-        if host is not None:
-            yield from told()
-
-    hosts = blocks.select(F.col("b").alias("host"), F.lit(None).cast("long").alias("guest"), "data", "near", "k")
-    guests = gaps.where("least <= kth").select(F.col("a").alias("host"), F.col("b").alias("guest"), "b").join(blocks.select("b", "data"), "b").drop("b")
-    cores = _streamed(hosts, guests, run, "b long, core binary, most_core double")
+                guest = _matrix(row["data"], width)
+                for host in row["hosts"]:
+                    x, near = held[host]
+                    k = near.shape[1]
+                    held[host] = x, np.sort(np.concatenate([near, _nearest(x, guest, k, False)], axis=1), axis=1)[:, :k]
+        yield from told(held)
+
+    pairs = gaps.where("least <= kth").select(F.col("a").alias("host"), F.col("b").alias("guest"))
     with _few_rows(blocks.sparkSession):
+        cores = _streamed(blocks, pairs, ["data"], ["near", "k"], run, "b long, core binary, most_core double")
         return working.save(blocks.drop("near", "kth", "center", "radius").join(cores, "b"), "cores")
 
 
@@ -212,16 +256,29 @@ def _edges(blocks: DataFrame, gaps: DataFrame, width: int, working: Working) ->
             nodes, x, core = np.array(row["nodes"]), _matrix(row["data"], width), np.frombuffer(row["core"], np.float64)
             yield from _edge_rows(nodes, core, x, _tree(nodes, weights(x, core)))
 
+    def least(found):
+        edges = _forest(*(np.concatenate([batch.column(k).to_numpy() for batch in found]) for k in range(3)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in edges], names=["u", "v", "w"])
+
     def between(batches):
-        host = None
+        team, held, found = None, {}, []
         for row in _rows(batches):
-            mine = np.array(row["nodes"]), _matrix(row["data"], width), np.frombuffer(row["core"], np.float64)
-            if row["guest"] is None:
-                host = mine
-            else:
-                nodes, x, core = (np.concatenate(two) for two in zip(host, mine, strict=True))
-                n = len(host[0])
-                yield from _edge_rows(nodes, core, x, [(a, b) for a, b in _tree(nodes, weights(x, core)) if (a < n) != (b < n)])
+            one = np.array(row["nodes"]), _matrix(row["data"], width), np.frombuffer(row["core"], np.float64)
+            if row["hosts"] is None:
+                if row["team"] != team:
+                    if found:
+                        yield least(found)
+                    team, held, found = row["team"], {}, []
+                held[row["b"]] = one
+                continue
+            for host in row["hosts"]:
+                nodes, x, core = (np.concatenate(two) for two in zip(held[host], one, strict=True))
+                n = len(held[host][0])
+                found.extend(_edge_rows(nodes, core, x, [(a, b) for a, b in _tree(nodes, weights(x, core)) if (a < n) != (b < n)]))
+            if sum(map(len, found)) > HELD + (len(found[0]) if found else 0):
+                found = [least(found)]
+        if found:
+            yield least(found)
 
     schema = "u long, v long, w double"
     with _few_rows(blocks.sparkSession):
@@ -232,10 +289,8 @@ def _edges(blocks: DataFrame, gaps: DataFrame, width: int, working: Working) ->
     near = gaps.where("a < b").join(links.join(longest, "grp"), "grp").where(F.col("least") <= F.greatest("link", "own"))
     even = F.pmod(F.col("a") + F.col("b"), F.lit(2)) == 0
     pairs = near.select(F.when(even, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("guest"))
-    hosts = blocks.select(F.col("b").alias("host"), F.lit(None).cast("long").alias("guest"), "nodes", "data", "core").join(pairs.select("host").distinct(), "host", "left_semi")
-    guests = pairs.join(blocks.select(F.col("b").alias("guest"), "nodes", "data", "core"), "guest")
     with _few_rows(blocks.sparkSession):
-        return own.unionByName(working.save(_streamed(hosts, guests, between, schema), "far_edges"))
+        return own.unionByName(working.save(_streamed(blocks, pairs, ["nodes", "data", "core"], [], between, schema), "far_edges"))
 
 
 def _chains(edges: DataFrame, working: Working) -> tuple[DataFrame, DataFrame, int]:

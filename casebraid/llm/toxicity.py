@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column
+from .common import chunks, column, lean_batches
 
 #: The bound of the sample of labelled documents, for each class.
 SAMPLE_ROWS = 20_000
@@ -166,6 +166,7 @@ class ToxicWords:
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> ToxicWords:
     """A model of labels (doc_id, toxic) where learn (over doc_id) holds. Of repeated labels, toxic counts."""
     spark = documents.sparkSession
+    lean_batches(spark)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -258,13 +259,16 @@ def score(documents: DataFrame, model: ToxicWords) -> DataFrame:
 
 def keep_clean(documents: DataFrame, model: ToxicWords, most: float = 0.7) -> DataFrame:
     """The documents, with all their columns, that score below most; a null text scores as an empty one and stays null."""
+    lean_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
+    # a text that is a string already goes to Python once, not twice
+    said = "text" if dict(documents.dtypes)["text"] == "string" else "__said"
 
     def run(batches):
         known = held.value
         for batch in batches:
-            good = [known.scores(known.features(column(table, "__said"))[0]) < most for table in chunks([batch], "__said")]
+            good = [known.scores(known.features(column(table, said))[0]) < most for table in chunks([batch], said)]
             if good:
-                yield batch.drop_columns(["__said"]).filter(pa.array(np.concatenate(good)))
+                yield (batch.drop_columns([said]) if said == "__said" else batch).filter(pa.array(np.concatenate(good)))
 
-    return documents.withColumn("__said", F.col("text").cast("string")).mapInArrow(run, documents.schema)
+    return (documents.withColumn(said, F.col("text").cast("string")) if said == "__said" else documents).mapInArrow(run, documents.schema)

@@ -97,3 +97,19 @@ def test_pieces_of_a_long_buffer(monkeypatch):
 
 def test_no_rows(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_snippets_move_once_to_the_index_and_the_ranges(spark, monkeypatch):
+    """Each of the five widths met all snippets in a join of its own, so what was shuffled outgrew the input."""
+    seen = {}
+    by_ranges = repeats._by_ranges
+
+    def watched(snippets, scratch):
+        seen["plan"], seen["columns"] = snippets._jdf.queryExecution().executedPlan().toString(), snippets.columns
+        return by_ranges(snippets, scratch)
+
+    monkeypatch.setattr(repeats, "_by_ranges", watched)
+    passage = "a passage of words " * 40
+    rows = [(k, f"{k} {passage} {k}") for k in range(6)]
+    assert sorted((tuple(r) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute_force(rows, 400)
+    assert "Join" not in seen["plan"] and "Exchange" not in seen["plan"] and "snippet" in seen["columns"]
